@@ -1,0 +1,36 @@
+import random
+
+from tidewright.llm import exact_dedup as X
+
+
+def test_chunk_hashes_compose():
+    data = random.Random(1).randbytes(100_000)
+    whole = X.fingerprint(data)
+    for at in (0, 1, 777, 32768, 99_999):
+        left, right = X.fingerprint(data[:at]), X.fingerprint(data[at:])
+        assert X.combine(left, right) == whole
+    assert X.fingerprint(b"\0") != X.fingerprint(b"\0\0") != X.fingerprint(b"")
+
+
+def test_classes(spark, monkeypatch):
+    monkeypatch.setattr(X, "MEMBERS_PER_SALT", 2)
+    long = "Long text. " * 9000
+    rows = [(1, "A b"), (2, "a B"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, long), (8, long.upper()), (9, "a b"), (9, "a b"), (None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as fp", "'x' as sha", "2 as size")
+    got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in X.classes(docs).collect()}
+    by = {k[0]: v for k, v in got.items()}
+    assert by[1] == by[2] == by[9] == by[None] == (9, 5)
+    assert by[3] == by[4] == (4, 2) and by[5] == (5, 1) and by[6] == (6, 1) and by[7] == by[8] == (8, 2)
+    left = X.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 8, 9]
+    assert X.classes(docs.limit(0)).count() == 0
+
+
+def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = X.map_batches
+    monkeypatch.setattr(X, "map_batches", lambda df, f, schema: real(df, f, schema).withColumn("fp", F.lit(0)) if "fp long" in schema else real(df, f, schema))
+    docs = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, "xyz")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in X.classes(docs).collect()} == {1: 3, 3: 3, 2: 4, 4: 4, 5: 5}
