@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules with NAME, query(spark, folder) and, where SQL can express it, ORACLE.
-MODULES = ["quality", "packing", "exact_dedup", "jaccard_join", "line_dedup", "langid", "decontaminate", "warc"]
+MODULES = ["quality", "url_filter", "packing", "language_model", "exact_dedup", "jaccard_join", "line_dedup", "langid", "decontaminate", "warc"]
 
 for _name in MODULES:
     _module = importlib.import_module(f"tidewright.llm.{_name}")
