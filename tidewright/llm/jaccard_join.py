@@ -15,7 +15,9 @@ verifications as copies. (4) What stays are buckets with several components: the
 components that pass the length and position filters are verified. No pair within a component is ever made. (5)
 Components of all verified links by alternating stars.
 
-Verification compares the whole sets. Sets of classes that no pair names are not shuffled (a Bloom filter again).
+Verification first bounds the overlap from above: the counts of a set's tokens by the first bits of their hashes are a
+sketch of a byte for about three tokens, and the sum of the lesser counts is at least the overlap. Pairs that pass are
+compared by their whole sets. Sets of classes that no such pair names are not shuffled (a Bloom filter again).
 
 Defined results: null, empty and wordless texts have no shingles and are their own components; repeated rows of an id are
 in one component with the id; a null id counts as the largest and stays null; an empty table gives an empty result; other
@@ -77,16 +79,32 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple
     return keys, places
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of tokens by their first bits. Empty where a count doesn't fit a byte."""
+    bits = min(20, max(4, (len(s) // 3).bit_length()))
+    c = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return c.astype(np.uint8).tobytes() if len(s) and c.max() < 256 else b""
+
+
+def at_most(x: bytes, y: bytes) -> int:
+    """An upper bound of the overlap of the sets with these sketches."""
+    if not x or not y:
+        return 1 << 40
+    a, b = np.frombuffer(x, dtype=np.uint8).astype(np.int32), np.frombuffer(y, dtype=np.uint8).astype(np.int32)
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(size, -1).sum(1), b.reshape(size, -1).sum(1)).sum())
+
+
 def _scan(k: int):
-    """Rows (kind 0: doc_id, n, class) and (kind 1: token, 0, count in a block, where it is 2 or more)."""
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int32()), ("b", pa.int64())])
+    """Rows (kind 0: doc_id, n, class, sketch) and (kind 1: token, 0, count in a block, where it is 2 or more)."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int32()), ("b", pa.int64()), ("sketch", pa.binary())])
 
     def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         v, c = np.unique(np.concatenate(held), return_counts=True)
         v, c = v[c > 1], c[c > 1]
         for i in range(0, len(v), 100_000):
             part = v[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), pa.array(part.view(np.int64)), pa.array(np.zeros(len(part), np.int32)), pa.array(c[i : i + 100_000].astype(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), pa.array(part.view(np.int64)), pa.array(np.zeros(len(part), np.int32)), pa.array(c[i : i + 100_000].astype(np.int64)), pa.nulls(len(part), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -96,7 +114,7 @@ def _scan(k: int):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t, k)
                 c = class_of(s)
-                rows.append((0, d, len(s), c))
+                rows.append((0, d, len(s), c, sketch(s)))
                 if len(s) and c not in seen:  # copies in a block count once
                     seen.add(c)
                     held.append(s)
@@ -166,14 +184,18 @@ def _sets(k: int, wanted: np.ndarray):
     return run
 
 
-def _overlap(num: int, den: int):
+def _checked(num: int, den: int, bound: bool):
+    """The pairs (a, b) with sets x, y that link; bound: with sketches, that may link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for a, c, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y")), strict=True):
-                s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(s) + len(t) - len(np.unique(np.concatenate((s, t))))
-                if den * both >= num * (len(s) + len(t) - both):
+            for a, c, x, y, m, n in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y", "m", "n")), strict=True):
+                if bound:
+                    both = min(m, n, at_most(x, y))
+                else:
+                    both = m + n - len(np.unique(np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))))
+                if den * both >= num * (m + n - both):
                     out.append((a, c))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
 
@@ -192,32 +214,39 @@ class Join:
     def __init__(self, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100):
         self.k, self.num, self.den = k, num, den
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-        scan = cut(map_batches(self.rows, _scan(k), "kind byte, a long, n int, b long"))
-        #: (doc_id, n, cls) for each row.
-        self.docs = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("cls"))
+        scan = cut(map_batches(self.rows, _scan(k), "kind byte, a long, n int, b long, sketch binary"))
+        #: (doc_id, n, cls, sketch) for each row.
+        self.docs = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("cls"), "sketch")
         often = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).select("a").toArrow()["a"].to_numpy()
         self.frequent = np.sort(often.view(np.uint64))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link. b is the rarer side's hub where there is one."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        stand = self.docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        names = cut(named.join(stand, "cls").select(F.xxhash64("cls", "doc_id").alias("name")))
+        """The pairs (a, b) of classes that link."""
+        named = lambda p: p.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+        def checked(p: DataFrame, rows: DataFrame, bound: bool) -> DataFrame:
+            x, y = rows.select(F.col("cls").alias("a"), F.col("v").alias("x"), F.col("n").alias("m")), rows.select(F.col("cls").alias("b"), F.col("v").alias("y"), "n")
+            return cut(map_batches(p.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n"), _checked(self.num, self.den, bound), "a long, b long"))
+
+        stand = cut(self.docs.join(named(pairs), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("v")))
+        close = checked(pairs, stand.select("cls", "n", "v"), True)
+        names = cut(stand.select("cls", "doc_id").join(named(close), "cls").select(F.xxhash64("cls", "doc_id").alias("name")))
         wanted = bloom(names, "name", names.count())
-        sets = cut(map_batches(self.rows, _sets(self.k, wanted), "cls long, set binary").dropDuplicates(["cls"]))
-        j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-        return cut(map_batches(j.select("a", "b", "x", "y"), _overlap(self.num, self.den), "a long, b long"))
+        sets = cut(map_batches(self.rows, _sets(self.k, wanted), "cls long, v binary")).withColumn("n", F.expr("cast(octet_length(v) div 8 as int)"))
+        return checked(close, sets, False).distinct()
 
     def links(self) -> DataFrame:
         """Verified links (a, b) between classes: enough of them for the components, none within a component already known."""
         num, den = self.num, self.den
         made = lambda among: map_batches(self.rows, _index(self.k, self.frequent, num, den, among), "key long, cls long, n int, place int")
-        # place and n in front: the hub is the class whose key stands foremost, so the one with the fewest tokens of its own
-        keys = cut(made(None).groupBy("key").agg(F.min(F.struct("place", "n", "cls")).alias("hub"), F.max("cls").alias("most"), F.min("cls").alias("least")).where("most <> least").select("key", "hub"))
-        n = keys.count()
-        index = cut(made(bloom(keys, "key", n)).dropDuplicates(["key", "cls"]).join(keys, "key")) if n else None
-        if index is None:
+        several = cut(made(None).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+        n = several.count()
+        if not n:
             return self.docs.sparkSession.createDataFrame([], "a long, b long")
+        index = cut(made(bloom(several, "key", n)).dropDuplicates(["key", "cls"]))
+        # place and n in front: the hub is the class whose key stands foremost, so the one with the fewest tokens of its own
+        hubs = index.groupBy("key").agg(F.min(F.struct("place", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+        index = cut(index.join(hubs, "key"))
         near = index.where(F.col("cls") != F.col("hub.cls")).where(_fits(F.col("n"), F.col("hub.n"), F.col("place"), F.col("hub.place"), num, den))
         stars = near.groupBy("cls", F.col("hub.cls").alias("b")).agg(F.count("*").alias("c")).groupBy("cls").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
         first = self._verify(cut(stars))
