@@ -327,9 +327,10 @@ class Model:
 
         schema = "p binary, n double"
         now = map_batches(chosen.repartition(shards, "doc_id"), fit, schema)
-        while shards > FAN_IN:
-            shards = math.ceil(shards / FAN_IN)
-            now = cut(now.coalesce(shards).mapInArrow(average, schema))
+        parts = now.rdd.getNumPartitions()
+        while parts > 1:  # a tree, whose root alone reaches the driver
+            parts = math.ceil(parts / FAN_IN)
+            now = cut(now.coalesce(parts).mapInArrow(average, schema))
         got = now.collect()
         if not got:
             return self.params
