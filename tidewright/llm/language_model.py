@@ -167,8 +167,7 @@ def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
         for t in range(t0, min(t0 + WINDOW, len(ids))):
             n = int(np.searchsorted(-size, -t, side="left"))  # lanes that still read
             h, last = h[:n], last[:n]
-            fresh = np.flatnonzero(last == END)
-            h[fresh] = 0  # a document begins
+            h = np.where((last == END)[:, None], np.float32(0), h)  # a document begins; the states kept stay as they are
             h = step(p, last, h)[0]
             states.append(h)
             last = ids[t, :n]
