@@ -139,7 +139,7 @@ QUERIES["top_changelog"] = top_changelog
 def streaming_tumbling(spark, folder):
     from tidewright.streaming import tumbling_counts
 
-    return tumbling_counts(spark, f"{folder}/events.parquet")
+    return tumbling_counts(spark, folder, "events.parquet")
 
 
 QUERIES["streaming_tumbling"] = streaming_tumbling
