@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidewright import dialect
 from tidewright.model import Failure, Input, Step, Transform, TransformRequest, Vocab
 from tidewright.plans import execute_transform
 
@@ -90,6 +91,64 @@ def test_interval_join(spark, tmp_path):
     assert sorted(out) == [(0, ts(5), 3, 9, None, 0), (0, ts(10), 4, 110, ts(11), 110)] and r.watermark == ts(8)
 
 
+def test_full_interval_join(spark, tmp_path):
+    q = JOIN.replace("LEFT JOIN", "FULL OUTER JOIN").replace("o.event_time as order_time", "COALESCE(o.event_time, s.event_time) as order_time")
+    d = Dataset(spark, tmp_path, [(None, q)], ORDERS, vocab=Vocab(event_time="order_time"))
+    _, out = d.slice({"orders": [(1, 1, 10), (5, 3, 9)], "shipments": [(1, 1, 4), (2, 7, 6), (9, 3, 1)]}, {"orders": 5, "shipments": 2}, 0)
+    assert sorted(out, key=repr) == [(0, ts(1), 1, 10, ts(1), 4)]
+    _, out = d.slice({"shipments": [(6, 3, 2)]}, {"orders": 9, "shipments": 6}, 1)
+    assert sorted(out, key=repr) == [(0, ts(2), None, None, ts(2), 6), (0, ts(5), 3, 9, ts(6), 2)]
+    _, out = d.slice({}, {"orders": 20, "shipments": 20}, 3)
+    assert out == [(0, ts(9), None, None, ts(9), 1)]
+    d = Dataset(spark, tmp_path / "r", [(None, q.replace("FULL OUTER", "RIGHT"))], ORDERS, vocab=Vocab(event_time="order_time"))
+    _, out = d.slice({"orders": [(1, 1, 10)], "shipments": [(2, 7, 6)]}, {"orders": 9, "shipments": 9}, 0)
+    assert out == [(0, ts(2), None, None, ts(2), 6)]
+
+
+HOPS = "SELECT HOP_START(event_time, INTERVAL '1' DAY, INTERVAL '2' DAY) as event_time, symbol, sum(price) as total FROM `in` GROUP BY HOP(event_time, INTERVAL '1' DAY, INTERVAL '2' DAY), symbol"
+
+
+def test_hopping_windows_over_slices(spark, tmp_path):
+    d = Dataset(spark, tmp_path, [(None, HOPS)], {"in": TICKER})
+    _, out = d.slice({"in": [(2.1, "A", 1), (3.1, "A", 10), (4.1, "A", 100)]}, {"in": 4.1}, 0)
+    assert sorted(out) == [(0, ts(1), "A", 1), (0, ts(2), "A", 11)]
+    r, out = d.slice({"in": [(3.2, "A", 1000)]}, {"in": 5}, 2)  # late for the window of the days 2 and 3 only
+    assert out == [(0, ts(3), "A", 1110)] and r.watermark == ts(5)
+    _, out = d.slice({"in": [(3.3, "A", 5)]}, {"in": 9}, 3)  # late for all its windows
+    assert out == [(0, ts(4), "A", 100)]
+
+
+SESSIONS = "SELECT SESSION_START(event_time, INTERVAL '12' HOUR) as event_time, i.symbol, count(*) as n, sum(price) as total FROM `in` AS i GROUP BY SESSION(event_time, INTERVAL '12' HOUR), i.symbol"
+
+
+def test_sessions_over_slices(spark, tmp_path):
+    d = Dataset(spark, tmp_path, [(None, SESSIONS)], {"in": TICKER})
+    _, out = d.slice({"in": [(1, "A", 1), (1.3, "A", 10), (1.1, "B", 5), (2.4, "A", 100)]}, {"in": 2}, 0)
+    assert sorted(out) == [(0, ts(1), "A", 2, 11), (0, ts(1.1), "B", 1, 5)]
+    _, out = d.slice({"in": [(2.8, "A", 1000), (1.2, "B", 7)]}, {"in": 2.9}, 2)  # the row of B is late
+    assert out == []
+    r, out = d.slice({}, {"in": 5}, 2)
+    assert sorted(out) == [(0, ts(2.4), "A", 2, 1100)] and r.watermark == ts(5)
+
+
+@pytest.mark.parametrize("gap", [12 * 3600, 12 * 3600 + 1])
+def test_sessions_agree_with_bounded_queries(spark, tmp_path, gap):
+    rows = [(ts(1), "A", 1), (ts(1) + timedelta(seconds=gap), "A", 10)]
+    spark.createDataFrame(rows, TICKER).createOrReplaceTempView("in")
+    want = spark.sql(dialect.translate(SESSIONS)).count()
+    d = Dataset(spark, tmp_path, [(None, SESSIONS)], {"in": TICKER})
+    d.spark.createDataFrame([(i, 0, SYS, *r) for i, r in enumerate(rows)], "offset long, op int, system_time timestamp, " + TICKER).coalesce(1).write.parquet(f"{tmp_path}/x")
+    path = f"{tmp_path}/x"
+    request = TransformRequest(d.transform, [Input("in", [path], path, (0, 1), [ts(9)], Vocab(event_time="event_time"))], SYS, 0, f"{tmp_path}/o.parquet", f"{tmp_path}/s", None, Vocab())
+    assert execute_transform(spark, request).interval == (0, want - 1)
+
+
+def test_current_watermark(spark, tmp_path):
+    d = Dataset(spark, tmp_path, [(None, "SELECT event_time, CURRENT_WATERMARK(event_time) as wm FROM `in`")], {"in": TICKER})
+    assert d.slice({"in": [(1, "A", 1)]}, {"in": 2}, 0)[1] == [(0, ts(1), None)]
+    assert d.slice({"in": [(3, "A", 1)]}, {"in": 4}, 1)[1] == [(0, ts(3), ts(2))]
+
+
 def test_chain(spark, tmp_path):
     stats = "SELECT TUMBLE_START(order_time, INTERVAL '1' DAY) as order_time, order_id, count(*) as num_shipments, min(shipped_time) as first_shipment, max(shipped_time) as last_shipment, min(order_quantity) as order_quantity, sum(shipped_quantity) as shipped_quantity_total FROM order_shipments GROUP BY TUMBLE(order_time, INTERVAL '1' DAY), order_id"
     last = "SELECT * FROM shipment_stats WHERE order_quantity <> shipped_quantity_total"

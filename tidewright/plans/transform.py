@@ -14,6 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewright import dialect
 from tidewright.model import ENGINES, Failure, InvalidQueryError, Success, TransformRequest
@@ -36,6 +37,11 @@ def _delta(text: str | None) -> timedelta:
     return timedelta(seconds=float(n) * _SECONDS[unit])
 
 
+def _interval(size: str) -> str:
+    n, unit = size.split()
+    return f"INTERVAL '{n}' {unit}"
+
+
 def _less(t: datetime, d: timedelta) -> datetime:
     return t - d if t - _EVER > d else _EVER
 
@@ -96,6 +102,10 @@ class Run:
 
     def step(self, k: int, text: str) -> Relation:
         s = dialect.shape(text, self.request.transform.temporal)
+        if dialect.CURRENT_WATERMARK.search(text):  # rows of a slice see the watermark that preceded them
+            before = self._of(s.source).before
+            told = "CAST(NULL AS TIMESTAMP)" if before == _EVER else f"TIMESTAMP '{before}'"
+            s = dialect.shape(dialect.CURRENT_WATERMARK.sub(told, "".join(dialect.tokens(text))), self.request.transform.temporal)
         return getattr(self, f"_{s.kind}")(f"step{k}", s)
 
     def _stateless(self, name: str, s: dialect.Shape) -> Relation:
@@ -105,43 +115,68 @@ class Run:
         return Relation(rows, src.before, src.after)
 
     def _window(self, name: str, s: dialect.Shape) -> Relation:
-        src, size = self._of(s.source), s.size
-        slide = s.keys[0][0] if s.keys else None
-        w = F.window(F.col(s.time), size, slide) if slide else F.window(F.col(s.time), size)
-        if not slide:
-            end = lambda d: d.withColumn("__end", w.end - F.expr("interval 1 millisecond"))
-        else:  # a row is needed until its last window closes; the windows are told apart in the result
-            end = lambda d: d.withColumn("__end", F.date_trunc("second", F.col(s.time)) * 1)
-            raise InvalidQueryError("Hopping windows run in bounded queries only")
-        seen = src.rows.drop("__end")
-        rows = end(self._state(name, seen).unionByName(end(seen).where(F.col("__end") > F.lit(src.before)).drop("__end")))
-        rows = cut(rows)
+        """Tumbling and hopping windows. A row is kept until the last of its windows closes; a window that was closed before
+        is not shown again, so a row is late only for the windows that no longer wait for it."""
+        src = self._of(s.source)
+        hop = s.keys[0][0] if s.keys else s.size
+        last = F.window(F.col(s.time), hop).start + F.expr(f"interval '{s.size.split()[0]}' {s.size.split()[1]}") - F.expr("interval 1 millisecond")
+        seen = src.rows.withColumn("__end", last).where(F.col("__end") > F.lit(src.before)).drop("__end")
+        rows = cut(self._state(name, src.rows).unionByName(seen).withColumn("__end", last))
         self._save(rows.where(F.col("__end") > F.lit(src.after)).drop("__end"), name)
-        out = self._sql(s.sql, **{s.source: rows.where(F.col("__end") <= F.lit(src.after)).drop("__end", "__seq")})
-        return Relation(out, src.before, src.after)
+        if not s.keys:
+            out = self._sql(s.sql, **{s.source: rows.where(F.col("__end") <= F.lit(src.after)).drop("__end", "__seq")})
+            return Relation(out, src.before, src.after)
+        end = f"HOP_END({s.time}, {', '.join(_interval(x) for x in (hop, s.size))}) AS __end"
+        shown = self._with_seq(s.sql, end, **{s.source: rows.drop("__end", "__seq")}).withColumn("__end", F.col("__end") - F.expr("interval 1 millisecond"))
+        return Relation(shown.where((F.col("__end") > F.lit(src.before)) & (F.col("__end") <= F.lit(src.after))).drop("__end"), src.before, src.after)
+
+    def _session(self, name: str, s: dialect.Shape) -> Relation:
+        """Sessions close as a whole. A late row that still touches an open session of its key joins it; the rows of a slice
+        are taken as a set, so their order decides nothing."""
+        src = self._of(s.source)
+        rows = self._state(name, src.rows).unionByName(src.rows).where(F.col(s.time).isNotNull())
+        key, gap = [F.expr(dialect.translate(k)) for k in s.partition], F.expr(_interval(s.size))
+        by_time = Window.partitionBy(*key).orderBy(s.time)
+        rows = rows.withColumn("__first", F.coalesce(F.col(s.time) > F.lag(s.time).over(by_time) + gap, F.lit(True)).cast("long"))
+        rows = rows.withColumn("__session", F.sum("__first").over(by_time))
+        rows = cut(rows.withColumn("__end", F.max(s.time).over(Window.partitionBy(*key, "__session")) + gap - F.expr("interval 1 millisecond")).drop("__first", "__session"))
+        self._save(rows.where(F.col("__end") > F.lit(src.after)).drop("__end"), name)
+        closed = (F.col("__end") > F.lit(src.before)) & (F.col("__end") <= F.lit(src.after))
+        return Relation(self._sql(s.sql, **{s.source: rows.where(closed).drop("__end", "__seq")}), src.before, src.after)
 
     def _interval(self, name: str, s: dialect.Shape) -> Relation:
+        """Pairs of which a row is new; for outer joins, also rows without a partner, once none can come any more."""
         left, right = self._of(s.source), self._of(s.right)
         lo, hi = _delta((s.lower or "").lstrip("-")) * (-1 if (s.lower or "").startswith("-") else 1), _delta((s.upper or "").lstrip("-")) * (-1 if (s.upper or "").startswith("-") else 1)
         reach = max(abs(lo), abs(hi))
         mark = min(left.after, right.after)
         new, old = F.lit(True), F.lit(False)
-        l_old = self._state(f"{name}l")
-        lrows = left.rows.withColumns({"__new": new, "__matched": old})
-        lrows = cut(lrows if l_old is None else lrows.unionByName(l_old.withColumn("__new", old)))
-        r_old = self._state(f"{name}r")
-        rrows = right.rows.withColumn("__new", new)
-        rrows = cut(rrows if r_old is None else rrows.unionByName(r_old.withColumn("__new", old)))
+
+        def with_state(rows: DataFrame, state: str) -> DataFrame:
+            rows, kept = rows.withColumns({"__new": new, "__matched": old}), self._state(state)
+            return cut(rows if kept is None else rows.unionByName(kept.withColumn("__new", old)))
+
+        lrows, rrows = with_state(left.rows, f"{name}l"), with_state(right.rows, f"{name}r")
         views = {s.source: lrows, s.right: rrows}
         out = self._sql(s.sql, **views)
-        if s.outer:
-            met = self._sql(f"SELECT {s.alias}.* FROM `{s.source}` AS {s.alias} LEFT SEMI JOIN `{s.right}` AS {s.right_alias} ON {s.partition[0]}", **views)
-            lrows = cut(met.withColumn("__matched", new).unionByName(self._sql(f"SELECT {s.alias}.* FROM `{s.source}` AS {s.alias} LEFT ANTI JOIN `{s.right}` AS {s.right_alias} ON {s.partition[0]}", **views)))
-        past = F.col(s.time) + F.expr(f"interval {hi.total_seconds()} seconds") < F.lit(mark)
-        if s.outer:
-            out = cut(out).unionByName(cut(self._sql(s.order, **{s.source: lrows.where(past & ~F.col("__matched")), s.right: rrows.limit(0)})))
-        self._save(lrows.where(~past).drop("__new"), f"{name}l")
-        self._save(rrows.where(F.col(s.right_time) - F.expr(f"interval {lo.total_seconds()} seconds") >= F.lit(mark)).drop("__new"), f"{name}r")
+
+        def told(rows: DataFrame, mine: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+            """rows, with __matched set where a partner is there now."""
+            met, rest = (self._sql(f"SELECT {mine[1]}.* FROM `{mine[0]}` AS {mine[1]} LEFT {how} JOIN `{other[0]}` AS {other[1]} ON {s.partition[0]}", **views) for how in ("SEMI", "ANTI"))
+            return cut(met.withColumn("__matched", new).unionByName(rest))
+
+        l_past = F.col(s.time) + F.expr(f"interval {hi.total_seconds()} seconds") < F.lit(mark)
+        r_past = F.col(s.right_time) - F.expr(f"interval {lo.total_seconds()} seconds") < F.lit(mark)
+        ends = (s.source, s.alias), (s.right, s.right_alias)
+        out = cut(out)
+        if s.how in ("LEFT", "FULL"):
+            lrows = told(lrows, *ends)
+            out = out.unionByName(cut(self._sql(s.order, **{s.source: lrows.where(l_past & ~F.col("__matched")), s.right: rrows.limit(0)})))
+        if s.how in ("RIGHT", "FULL"):
+            rrows = told(rrows, *ends[::-1])
+            out = out.unionByName(cut(self._sql(s.order, **{s.source: lrows.limit(0), s.right: rrows.where(r_past & ~F.col("__matched"))})))
+        self._save(lrows.where(~l_past).drop("__new"), f"{name}l")
+        self._save(rrows.where(~r_past).drop("__new"), f"{name}r")
         return Relation(cut(out), _less(min(left.before, right.before), reach), _less(mark, reach))
 
     def _temporal(self, name: str, s: dialect.Shape) -> Relation:
