@@ -194,4 +194,22 @@ def test_refusals(spark, tmp_path):
     assert "conflicts with the system column" in of("SELECT * FROM `in`").message
     assert "was not found among: x" in of("SELECT price as x FROM `in`").message
     assert of("SELECT nothing FROM `in`").kind == "InvalidQuery"
-    assert of("SELECT symbol, sum(price) FROM `in` GROUP BY symbol").kind == "InvalidQuery"
+    assert of("SELECT symbol, stddev(price) FROM `in` GROUP BY symbol").kind == "InvalidQuery"
+    assert of("SELECT symbol, sum(DISTINCT price) FROM `in` GROUP BY symbol").kind == "InvalidQuery"
+
+
+def test_running_aggregates(spark, tmp_path):
+    q = "SELECT max(i.event_time) AS event_time, i.symbol, count(*) AS n, sum(price) AS total, avg(price) AS mean, min(price) AS least FROM `in` AS i WHERE price > 0 GROUP BY i.symbol"
+    d = Dataset(spark, tmp_path, [(None, q)], {"in": TICKER})
+    _, out = d.slice({"in": [(1, "A", 10), (1, "B", 5), (2, "A", 4), (2, "A", -1), (2, None, 1)]}, {"in": 2}, 0)
+    assert out == [(0, ts(1), "A", 1, 10, 10.0, 10), (0, ts(1), "B", 1, 5, 5.0, 5), (2, ts(1), "A", 1, 10, 10.0, 10), (3, ts(2), "A", 2, 14, 7.0, 4), (0, ts(2), None, 1, 1, 1.0, 1)]
+    r, out = d.slice({"in": [(3, "A", 1), (3, None, None), (3, "C", 2)]}, {"in": 3}, 5)
+    assert out == [(2, ts(2), "A", 2, 14, 7.0, 4), (3, ts(3), "A", 3, 15, 5.0, 1), (0, ts(3), "C", 1, 2, 2.0, 2)] and r.watermark == ts(3)
+    _, out = d.slice({"in": [(4, "B", 7)]}, {"in": 4}, 8)
+    assert out == [(2, ts(1), "B", 1, 5, 5.0, 5), (3, ts(4), "B", 2, 12, 6.0, 5)]
+
+
+def test_distinct(spark, tmp_path):
+    d = Dataset(spark, tmp_path, [(None, "SELECT DISTINCT event_time, symbol FROM `in`")], {"in": TICKER})
+    assert d.slice({"in": [(1, "A", 1), (1, "A", 2), (2, "B", 1)]}, {"in": 2}, 0)[1] == [(0, ts(1), "A"), (0, ts(2), "B")]
+    assert d.slice({"in": [(1, "A", 3), (2, "A", 4)]}, {"in": 3}, 2)[1] == [(0, ts(2), "A")]

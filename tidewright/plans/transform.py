@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright import dialect
-from tidewright.model import ENGINES, Failure, InvalidQueryError, Success, TransformRequest
+from tidewright.model import APPEND, CORRECT_FROM, CORRECT_TO, ENGINES, Failure, InvalidQueryError, Success, TransformRequest
 from tidewright.operators import asof_join, top_changes, with_offsets
 from tidewright.session import cut
 from tidewright.sinks import load_json, save_json, write_file
@@ -42,6 +42,14 @@ def _interval(size: str) -> str:
     return f"INTERVAL '{n}' {unit}"
 
 
+def _field(item: str) -> str:
+    """An item of a select list as name and value."""
+    m = re.fullmatch(r"(.*?)\s+AS\s+(`[^`]+`|\w+)\s*", item, re.I | re.S) or re.fullmatch(r"(`[^`]+`|\w+)", item)
+    if not m:
+        raise InvalidQueryError(f"A computed column needs a name: {item}")
+    return f"'{m[m.lastindex].strip('`')}', {m[1]}"
+
+
 def _less(t: datetime, d: timedelta) -> datetime:
     return t - d if t - _EVER > d else _EVER
 
@@ -195,6 +203,40 @@ class Run:
         self._save(keep.unionByName(versions.where(F.col(time) > F.lit(mark))), f"{name}r")
         return Relation(out, min(left.before, right.before), mark)
 
+    def _group(self, name: str, s: dialect.Shape) -> Relation:
+        """Running aggregates as a changelog: each row appends or corrects its key's result, unless that stays as it was.
+        The state is one row of partial values a key, put before the slice's rows; inputs are taken as appends."""
+        src = self._of(s.source)
+        if "__op" in src.rows.columns:
+            raise InvalidQueryError("No rule for aggregates of a changelog")
+        if "__seq" not in src.rows.columns:
+            src.rows = cut(src.rows.orderBy(*[c for c, t in src.rows.dtypes if not t.startswith("map")])).withColumn("__seq", F.monotonically_increasing_id())
+        names = [f"`{k}`" for k in s.partition]
+        rows = self._sql(f"SELECT {', '.join(['__seq', *names, *[f'({arg}) AS __x{i}' for i, (_, arg) in enumerate(s.calls)]])} {s.sql}")
+        parts: dict[str, tuple] = {}  # column: how it is combined, what a row gives
+        for i, (call, _) in enumerate(s.calls):
+            x = F.col(f"__x{i}")
+            if call != "count":
+                parts[f"__p{i}"] = {"min": F.min, "max": F.max}.get(call, F.sum), x
+            if call in ("count", "avg"):
+                parts[f"__c{i}"] = F.sum, x.isNotNull().cast("long")
+        types = rows.agg(F.lit(1).alias("__one"), *[how(x).alias(c) for c, (how, x) in parts.items()]).schema
+        rows = rows.select("__seq", *names, *[x.cast(types[c].dataType).alias(c) for c, (_, x) in parts.items()])
+        kept = self._state(name)
+        rows = cut(rows if kept is None else rows.unionByName(kept.withColumn("__seq", F.lit(-1).cast("long"))))
+        self._save(rows.groupBy(*names).agg(F.lit(1).alias("__one"), *[how(c).cast(types[c].dataType).alias(c) for c, (how, _) in parts.items()]).drop("__one"), name)
+        by_seq = Window.partitionBy(*names).orderBy("__seq")
+        running = rows.select("__seq", *names, *[how(c).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)).cast(types[c].dataType).alias(c) for c, (how, _) in parts.items()])
+        values = {"count": "__c{0}", "avg": "(__p{0} / nullif(__c{0}, 0))"}
+        running = running.select("__seq", *names, *[F.expr(values.get(call, "__p{0}").format(i)).alias(f"__a{i}") for i, (call, _) in enumerate(s.calls)])
+        running.createOrReplaceTempView("__running")
+        shown = self.spark.sql(dialect.translate(f"SELECT {', '.join(names)}, __seq, named_struct({', '.join(_field(x) for x in s.items)}) AS __now FROM __running"))
+        shown = shown.withColumn("__was", F.lag("__now").over(by_seq)).where(~F.col("__now").eqNullSafe(F.col("__was")) & (F.col("__seq") >= 0))
+        change = lambda op, row, step: F.struct(F.lit(op).alias("__op"), F.lit(step).alias("__step"), F.col(row).alias("__row"))
+        told = F.when(F.col("__was").isNull(), F.array(change(APPEND, "__now", 0))).otherwise(F.array(change(CORRECT_FROM, "__was", 0), change(CORRECT_TO, "__now", 1)))
+        out = shown.select("__seq", F.explode(told).alias("__change")).select("__seq", "__change.__op", "__change.__step", "__change.__row.*")
+        return Relation(cut(out), src.before, src.after)
+
     def _top(self, name: str, s: dialect.Shape) -> Relation:
         src = self._of(s.source)
         order = [(m[1].strip("`"), (m[2] or "").upper() == "DESC") for m in (re.fullmatch(r"\s*(?:\w+\.)?(`[^`]+`|\w+)(?:\s+(ASC|DESC))?\s*", x, re.I) for x in s.order.split(",")) if m]
