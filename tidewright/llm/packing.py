@@ -8,8 +8,8 @@ are left, more partitions stay. Every round is kept in the shared folder and its
 packs the same way.
 
 Tokens: words are encoded once and remembered (a bounded memo). Texts of ASCII and Latin letters are split into words by
-an equivalent of the tokenizer's own pattern and encoded by a second library under the same merges; all other texts go
-through the tokenizer itself.
+an equivalent of the tokenizer's own pattern and encoded by a second library under the same merges; all other texts, and
+those that may hold the name of a special token, go through the tokenizer itself.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed once each; an empty table gives an
 empty result; further columns are not read.
@@ -43,7 +43,7 @@ MEMO = 400_000
 _LETTERS = "a-zß-öø-ÿœ"
 #: The tokenizer's pattern, for texts without characters that _OTHER finds.
 _PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿœŒ]")
+_OTHER = re.compile(r"<\||[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿœŒ]")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
