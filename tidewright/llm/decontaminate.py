@@ -94,7 +94,7 @@ class Matcher:
         for k, (_, w) in enumerate(self.items):
             for at, p in pieces(w):
                 key = f" {b' '.join(p).decode('latin-1')} "
-                self.automaton.add_word(key, (len(key), [*self.automaton.get(key, (0, []))[1], (k, at)]))
+                self.automaton.add_word(key, (len(p), [*self.automaton.get(key, (0, []))[1], (k, at)]))
         self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -107,8 +107,11 @@ class Matcher:
         flat = f" {b' '.join(found).decode('latin-1')} "
         best: dict[int, tuple[int, int]] = {}
         tried: dict[int, set[int]] = {}
+        seen = passed = 0  # words before the place in flat that is counted up to
         for end, (size, owners) in self.automaton.iter(flat):
-            place = flat.count(" ", 0, end - size + 1)
+            passed += flat.count(" ", seen, end)
+            seen = end
+            place = passed - size
             for k, at in owners:
                 item, e = self.items[k][1], budget(len(self.items[k][1]))
                 start = place - at
