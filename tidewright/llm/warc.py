@@ -33,6 +33,7 @@ from tidewright.sources import table
 NAME = "op10_warc"
 MIN_REVISIT = 100
 FILE_RECORDS = 1000
+STEP = 1 << 16
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/", b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,12 +97,16 @@ def _plain(data: bytes, at: int) -> tuple[Record | None, int, str]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    z = zlib.decompressobj(31)
+    """The content of the member at `at`, and its end. Read in steps: the decompressor copies what follows the end in a step."""
+    z, out = zlib.decompressobj(31), []
     try:
-        out = z.decompress(memoryview(data)[at:]) + z.flush()
+        for i in range(at, len(data), STEP):
+            out.append(z.decompress(data[i : i + STEP]))
+            if z.eof:
+                return b"".join(out), min(i + STEP, len(data)) - len(z.unused_data)
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(z.unused_data)) if z.eof else (None, at)
+        pass
+    return None, at
 
 
 def salvage(data: bytes, inner: bool = False) -> Iterator[Record | Gap]:
