@@ -186,3 +186,13 @@ same_sql("math_functions", "orders", "SELECT o_orderkey, o_orderkey % 7 AS m, ab
 same_sql("json_field", "events", "SELECT event_id, JSON_VALUE(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 same_sql("unnest_arrays", "embeddings", "SELECT vec_id, label, cardinality(embedding) AS n, embedding[0] AS first_value FROM embeddings".replace("embedding[0]", "element_at(embedding, 1)"), "SELECT vec_id, label, len(embedding)::INT AS n, embedding[1] AS first_value FROM embeddings")
 same_sql("predicates", "orders", "SELECT o_orderkey FROM orders WHERE (o_orderpriority LIKE '1%' OR o_orderstatus IN ('F', 'P')) AND o_custkey IS NOT NULL AND NOT (o_totalprice < 1000) AND o_orderstatus IS DISTINCT FROM 'P'")
+
+_PER_WINDOW = "SELECT window_start, window_end, event_type, count(*) AS n, max(value) AS high FROM TABLE({}) GROUP BY window_start, window_end, event_type"
+same_sql("window_table_tumble", "events", _PER_WINDOW.format("TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '6' HOUR)"), "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS window_start, (time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR)::TIMESTAMP AS window_end, event_type, count(*) AS n, max(value) AS high FROM events GROUP BY ALL")
+same_sql("window_table_hop", "events", _PER_WINDOW.format("HOP(DATA => TABLE events, TIMECOL => DESCRIPTOR(ts), SLIDE => INTERVAL '1' DAY, SIZE => INTERVAL '2' DAY)"), "SELECT (date_trunc('day', ts) - INTERVAL 1 DAY * k)::TIMESTAMP AS window_start, (date_trunc('day', ts) - INTERVAL 1 DAY * k + INTERVAL 2 DAY)::TIMESTAMP AS window_end, event_type, count(*) AS n, max(value) AS high FROM events, (VALUES (0), (1)) t(k) GROUP BY ALL")
+same_sql("window_table_cumulate", "events", _PER_WINDOW.format("CUMULATE(TABLE events, DESCRIPTOR(ts), INTERVAL '6' HOUR, INTERVAL '1' DAY)"), "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, (date_trunc('day', ts) + INTERVAL 6 HOUR * k)::TIMESTAMP AS window_end, event_type, count(*) AS n, max(value) AS high FROM events, (VALUES (1), (2), (3), (4)) t(k) WHERE ts < date_trunc('day', ts) + INTERVAL 6 HOUR * k GROUP BY ALL")
+same_sql("fetch_first", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 5 ROWS FETCH NEXT 20 ROWS ONLY", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
+same_sql("between_symmetric", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN SYMMETRIC o_custkey + 100 AND 2 * o_custkey AND o_orderstatus = 'F'", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN least(o_custkey + 100, 2 * o_custkey) AND greatest(o_custkey + 100, 2 * o_custkey) AND o_orderstatus = 'F'")
+same_sql("unnest_rows", "nation", "SELECT n_nationkey, part, MAP['a', n_regionkey, 'b', -1]['a'] AS region, ARRAY[n_name, 'x'][1] AS first_part, ARRAY[n_name][2] AS no_part FROM nation CROSS JOIN UNNEST(split(n_name, ' ')) AS t (part)", "SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS part, n_regionkey AS region, n_name AS first_part, NULL::VARCHAR AS no_part FROM nation")
+same_sql("json_functions", "nation", "SELECT n_nationkey, j, JSON_EXISTS(j, '$.k') AS has, JSON_EXISTS(j, '$.none') AS lacks, JSON_VALUE(j, '$.name') AS name, j IS JSON AS is_json, n_name IS NOT JSON AS no_json FROM (SELECT n_nationkey, n_name, JSON_OBJECT(KEY 'k' VALUE n_regionkey, 'name' VALUE n_name, 'z' VALUE CAST(NULL AS INT)) AS j FROM nation) t", "SELECT n_nationkey, '{\"k\":' || n_regionkey || ',\"name\":\"' || n_name || '\",\"z\":null}' AS j, true AS has, false AS lacks, n_name AS name, true AS is_json, true AS no_json FROM nation")
+same_sql("hash_functions", "nation", "SELECT n_nationkey, SHA256(n_name) AS s, sha1(n_name) AS o, length(SHA224(n_name)) AS n, length(SHA512(n_name)) AS m FROM nation", "SELECT n_nationkey, sha256(n_name) AS s, sha1(n_name) AS o, 56 AS n, 128 AS m FROM nation")
