@@ -57,8 +57,12 @@ TICKER = "event_time timestamp, symbol string, price int"
 DAILY = "SELECT TUMBLE_START(event_time, INTERVAL '1' DAY) as event_time, symbol as symbol, min(price) as `min`, max(price) as `max` FROM `in` GROUP BY TUMBLE(event_time, INTERVAL '1' DAY), symbol"
 
 
-def test_windows_over_slices(spark, tmp_path):
-    d = Dataset(spark, tmp_path, [(None, DAILY)], {"in": TICKER})
+DAILY_TABLE = "SELECT window_start as event_time, symbol, min(price) as `min`, max(price) as `max` FROM TABLE(TUMBLE(TABLE `in`, DESCRIPTOR(event_time), INTERVAL '1' DAY)) GROUP BY window_start, window_end, symbol"
+
+
+@pytest.mark.parametrize("query", [DAILY, DAILY_TABLE])
+def test_windows_over_slices(spark, tmp_path, query):
+    d = Dataset(spark, tmp_path, [(None, query)], {"in": TICKER})
     r, out = d.slice({"in": [(t, s, p) for t, p in ((1.1, 10), (1.2, 11), (2.1, 12), (2.2, 13), (3.1, 14), (3.2, 15)) for s, p in (("A", p), ("B", p + 10))]}, {"in": 3.2}, 0)
     assert sorted(out) == [(0, ts(1), "A", 10, 11), (0, ts(1), "B", 20, 21), (0, ts(2), "A", 12, 13), (0, ts(2), "B", 22, 23)]
     assert r.interval == (0, 3) and r.watermark == ts(3.2)
@@ -213,3 +217,14 @@ def test_distinct(spark, tmp_path):
     d = Dataset(spark, tmp_path, [(None, "SELECT DISTINCT event_time, symbol FROM `in`")], {"in": TICKER})
     assert d.slice({"in": [(1, "A", 1), (1, "A", 2), (2, "B", 1)]}, {"in": 2}, 0)[1] == [(0, ts(1), "A"), (0, ts(2), "B")]
     assert d.slice({"in": [(1, "A", 3), (2, "A", 4)]}, {"in": 3}, 2)[1] == [(0, ts(2), "A")]
+
+
+def test_dialect_keeps_literals_and_names():
+    assert dialect.translate("SELECT 'a[1] FETCH FIRST 2 ROWS ONLY', `x[1]`, t.m['k'] FROM t") == "SELECT 'a[1] FETCH FIRST 2 ROWS ONLY', `x[1]`, try_element_at(t.m, 'k') FROM t"
+    assert dialect.translate("SELECT a[1][2] FROM t FETCH FIRST ROW ONLY") == "SELECT try_element_at(try_element_at(a, 1), 2) FROM t LIMIT 1"
+    assert dialect.translate("SELECT a FROM t OFFSET 3 ROWS") == "SELECT a FROM t OFFSET 3"
+    assert dialect.translate("SELECT offset, fetch FROM t") == "SELECT offset, fetch FROM t"
+    assert dialect.shape("SELECT window_start, k, count(*) AS n FROM TABLE(HOP(TABLE t, DESCRIPTOR(c), INTERVAL '1' DAY, INTERVAL '2' DAY)) GROUP BY window_start, window_end, k", {}).kind == "window"
+    for bad in ("SELECT (f(a))[1] FROM t", "SELECT * FROM TABLE(TUMBLE(TABLE t, INTERVAL '1' DAY))"):
+        with pytest.raises(dialect.InvalidQueryError):
+            dialect.translate(bad)
