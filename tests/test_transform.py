@@ -228,3 +228,8 @@ def test_dialect_keeps_literals_and_names():
     for bad in ("SELECT (f(a))[1] FROM t", "SELECT * FROM TABLE(TUMBLE(TABLE t, INTERVAL '1' DAY))"):
         with pytest.raises(dialect.InvalidQueryError):
             dialect.translate(bad)
+
+
+def test_json_query_and_collect(spark):
+    sql = "SELECT COLLECT(JSON_QUERY(j, '$.a')) AS a, COLLECT(JSON_QUERY(j, '$.b')) AS b FROM (VALUES ('{\"a\": [1, 2], \"b\": 3}'), ('no json'), (NULL)) AS t (j)"
+    assert tuple(spark.sql(dialect.translate(sql)).first()) == (["[1,2]"], [])
