@@ -122,6 +122,33 @@ def test_line_dedup(spark, monkeypatch):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_passages_against_brute_force(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passages = [[line(k) for k in sizes] for sizes in ((60,), (51,), (30, 25), (26, 26), (50, 1), (20, 0, 31), (15, 20, 20), (13, 13, 13, 13), (11,) * 5, (9, 9, 9, 9, 9, 9), (25, 25), (50,), (4, 60, 3))]
+    texts = []
+    for i in range(60):
+        x: list[str] = []
+        for p in rng.sample(passages, 3):
+            x += [line(rng.randrange(1, 20)) for _ in range(rng.randrange(1, 4))] + p
+        texts.append([*x, f"end {i}"])
+    texts += [["w " * 60, "own", "w " * 60], ["v"] * 200]  # twice in one text; a run that overlaps itself
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    want, seen = [], {}
+    for i, x in enumerate(texts):
+        runs = {(a, b) for a in range(len(x)) for b in range(a + 1, min(a + 120, len(x)) + 1) if len(" ".join(x[a:b]).split()) > 50}
+        gone = set()
+        for a, b in sorted(runs | {(a, b) for a, b in line_dedup.chunks("\n".join(x)) if b - a >= 2 and len("\n".join(x[a:b])) >= 40}):
+            d, stop = seen.setdefault(tuple(x[a:b]), (i, b))
+            if (d, stop) != (i, b):
+                gone.update(range(max(a, stop) if d == i else a, b))
+        want.append(("\n".join(y for k, y in enumerate(x) if k not in gone), len(gone)))
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.dedup(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    other = spark.createDataFrame([(1, "a " * 60), (None, "x\n" + "a " * 60), (None, "other\nlines")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup(other).collect()) == ["a " * 60, "other\nlines", "x"]
+
+
 def test_salvage():
     recs = [warc.record(str(i), f"http://x/{i}", b"payload %d " % i * 40, "d") for i in range(5)]
     for packed in ([warc.member(r) for r in recs], recs):

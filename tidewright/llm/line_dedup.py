@@ -1,16 +1,22 @@
-"""Line deduplication by content-defined line chunks.
+"""Line deduplication by content-defined line chunks and by passages of whole lines.
 
 A text's lines are hashed; a rolling hash over the hashes of each line and the one before it chooses boundaries, so that
-lines added or removed in front don't shift those that follow. Chunks of at least MIN_LINES lines and MIN_CHARS characters
-that occur more than once over all documents are compared byte by byte with their first occurrence (by doc_id, then place)
-and, if equal, removed; the first stays. A boundary falls on every second line on average, and a run of repeated lines
-hence has the same chunks wherever it stands, but for its first and last.
+lines added or removed in front don't shift those that follow. Chunks of at least MIN_LINES lines and MIN_CHARS bytes are
+segments of the text. A boundary falls on every second line on average, and a run of repeated lines hence has the same
+chunks wherever it stands, but for its first and last.
+
+So that a repeated passage of over WORDS words is found wherever boundaries fall, these are segments too: from each line on,
+and up to each line, the least run of lines with over WORDS words. Every run of lines with over WORDS words is the union of
+those that lie in it, and they depend on its lines alone, so all of it goes, to the line, if it has stood before.
+
+Segments that occur more than once over all documents are compared byte by byte with their first occurrence (by doc_id, then
+place) and, if equal, removed; the first stays. Where an occurrence overlaps the first, only the lines after the first go.
 
 No group is gathered: occurrences are counted by a partial aggregation, members are dealt to one salt for each
 MEMBERS_PER_SALT, and the first occurrence alone goes to all salts.
 
 Defined results: null text stays null, with no lines removed; empty texts stay; a text all of whose lines go is empty;
-repeated rows of an id are occurrences of the same places, so their chunks are not removed for each other's sake; a null
+repeated rows of an id are occurrences of the same places, so their segments are not removed for each other's sake; a null
 id counts as the largest; the order of lines that stay is kept; further columns are not read.
 """
 
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +39,17 @@ BOUNDARY = 2
 MIN_LINES = 2
 MIN_CHARS = 40
 MAX_LINES = 64
+WORDS = 50
 MEMBERS_PER_SALT = 1000
 _LAST = (1 << 63) - 1
 
 
 def chunks(text: str | None) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk of a text."""
-    if not text:
-        return []
-    h = [xxhash.xxh3_64_intdigest(x) for x in text.split("\n")]
+    return _chunks([xxhash.xxh3_64_intdigest(x) for x in text.split("\n")]) if text else []
+
+
+def _chunks(h: list[int]) -> list[tuple[int, int]]:
     out, start = [], 0
     for i in range(len(h)):
         rolled = (h[i] * 0x9E3779B97F4A7C15 + (h[i - 1] if i else 0) * 0xC2B2AE3D27D4EB4F) >> 17 & 0xFFFFFF
@@ -50,76 +59,108 @@ def chunks(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _eligible(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """(chunk number, first line, lines, bytes) of the chunks that may be removed."""
-    lines = (text or "").split("\n")
-    found = [(k, a, b - a, "\n".join(lines[a:b]).encode("utf-8", "replace")) for k, (a, b) in enumerate(chunks(text)) if b - a >= MIN_LINES]
-    return [x for x in found if len(x[3]) >= MIN_CHARS]
+def _passages(counts: list[int]) -> list[tuple[int, int]]:
+    """The least runs of over WORDS words from each line on and up to each line, given the lines' numbers of words."""
+    total = np.concatenate(([0], np.cumsum(counts)))
+    ends, starts = np.searchsorted(total, total[:-1] + WORDS, side="right"), np.searchsorted(total, total[1:] - WORDS, side="left") - 1
+    return [(a, b) for a, b in enumerate(ends.tolist()) if b <= len(counts)] + [(a, b + 1) for b, a in enumerate(starts.tolist()) if a >= 0]
+
+
+class Lines:
+    """A text's lines as bytes, and its segments: (first line, line after the last)."""
+
+    def __init__(self, text: str | None):
+        self.lines = text.encode("utf-8", "replace").split(b"\n") if text else []
+        self.hashes = [xxhash.xxh3_64_intdigest(x) for x in self.lines]
+        self.packed = np.array(self.hashes, dtype=np.uint64).tobytes()
+        self.ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in self.lines]))).astype(int).tolist()
+
+    def mark(self, a: int, b: int) -> tuple[int, int]:
+        """(hash, bytes) of a run of lines."""
+        return xxhash.xxh3_64_intdigest(self.packed[8 * a : 8 * b]) - (1 << 63), self.ends[b] - self.ends[a] - 1
+
+    def has(self, a: int, b: int, mark: tuple[int, int]) -> bool:
+        """Whether the run is there and has this mark: rows of one id may have different texts."""
+        return b <= len(self.lines) and self.mark(a, b) == mark
+
+    def segments(self) -> list[tuple[int, int]]:
+        if not self.lines:
+            return []
+        found = {(a, b) for a, b in _chunks(self.hashes) if b - a >= MIN_LINES and self.ends[b] - self.ends[a] - 1 >= MIN_CHARS}
+        return sorted(found.union(_passages([len(x.split()) for x in self.lines])))
+
+
+def _batch(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, fields.values(), strict=True)], names=list(fields))
+
+
+_PLACE = {"id": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
+_MARK = {"hash": pa.int64(), "size": pa.int64()}
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(d, k, xxhash.xxh3_64_intdigest(x) - (1 << 63), len(x)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, _, _, x in _eligible(t)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "chunk", "hash", "size"])
+        rows = []
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = Lines(t)
+            rows += [(d, i, j, *x.mark(i, j)) for i, j in x.segments()]
+        yield _batch(rows, _PLACE | _MARK)
 
 
 def _data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the chunks that `cand` names: structs of chunk, hash, size, salts and whether it is the first."""
+    """The bytes of the segments that `cand` names: structs of start, stop, hash, size, salts and whether it is the first."""
     for b in batches:
-        rows: list[tuple] = []
         for d, t, cand in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("cand").to_pylist(), strict=True):
-            by = {k: x for k, _, _, x in _eligible(t)}
-            rows += [(d, c["chunk"], c["hash"], c["size"], c["salts"], c["first"], by[c["chunk"]]) for c in cand if c["chunk"] in by]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["id", "chunk", "hash", "size", "salts", "first", "data"])
+            x = Lines(t)
+            rows = [(d, c["start"], c["stop"], c["hash"], c["size"], c["salts"], c["first"], b"\n".join(x.lines[c["start"] : c["stop"]])) for c in cand if x.has(c["start"], c["stop"], (c["hash"], c["size"]))]
+            yield _batch(rows, _PLACE | _MARK | {"salts": pa.int32(), "first": pa.bool_(), "data": pa.binary()})
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hash, size, salt), the first occurrence in front; yields the members that equal it."""
+    """Rows sorted by (hash, size, salt), the first occurrence in front; yields the members that equal it, and from which line on they go."""
     key = head = None
     for b in batches:
-        c = {n: b.column(n).to_pylist() for n in ("id", "chunk", "hash", "size", "salt", "first", "data")}
+        c = {n: b.column(n).to_pylist() for n in ("id", "start", "stop", "hash", "size", "salt", "first", "data")}
         out: list[tuple] = []
         for i, k in enumerate(zip(c["hash"], c["size"], c["salt"], strict=True)):
             if c["first"][i]:
-                key, head = k, c["data"][i] if k != key or head is None else head
-            elif k == key and c["data"][i] == head:
-                out.append((c["id"][i], c["chunk"][i]))
-        cols = list(zip(*out, strict=True)) or [[]] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())], names=["id", "chunk"])
+                if k != key or head is None:
+                    key, head = k, (c["data"][i], c["id"][i], c["stop"][i])
+            elif k == key and c["data"][i] == head[0]:
+                gone = max(c["start"][i], head[2]) if c["id"][i] == head[1] else c["start"][i]
+                if gone < c["stop"][i]:
+                    out.append((c["id"][i], c["start"][i], c["stop"][i], c["hash"][i], c["size"][i], gone))
+        yield _batch(out, _PLACE | _MARK | {"gone": pa.int32()})
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for d, t, drop in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
-            gone = 0
+            gone: set[int] = set()
             if drop:
-                lines, kept = t.split("\n"), []
-                for k, (x, y) in enumerate(chunks(t)):
-                    if k in drop:
-                        gone += y - x
-                    else:
-                        kept += lines[x:y]
-                t = "\n".join(kept)
-            rows.append((None if d == _LAST else d, t, gone))
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["doc_id", "text", "lines_removed"])
+                x = Lines(t)
+                for c in drop:
+                    if x.has(c["start"], c["stop"], (c["hash"], c["size"])):
+                        gone.update(range(c["gone"], c["stop"]))
+                if gone:
+                    t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone)
+            rows.append((None if d == _LAST else d, t, len(gone)))
+        yield _batch(rows, {"doc_id": pa.int64(), "text": pa.string(), "lines_removed": pa.int32()})
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lines_removed) of docs(doc_id, text)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    marks = cut(map_batches(rows, _hashes, "id long, chunk int, hash long, size long"))
-    groups = marks.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(F.struct("id", "chunk")).alias("head")).where("n > 1")
-    named = marks.join(groups, ["hash", "size"]).select("id", F.struct("chunk", "hash", "size", F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int").alias("salts"), (F.struct("id", "chunk") == F.col("head")).alias("first")).alias("c"))
-    cand = cut(named.groupBy("id").agg(F.collect_set("c").alias("cand")))  # at most one for each chunk of a text
-    held = map_batches(rows.join(cand, "id"), _data, "id long, chunk int, hash long, size long, salts int, first boolean, data binary")
-    salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "chunk"), F.col("salts")).cast("int")))
+    marks = cut(map_batches(rows, _hashes, "id long, start int, stop int, hash long, size long"))
+    groups = marks.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "stop")).alias("head")).where("n > 1")
+    named = marks.join(groups, ["hash", "size"]).select("id", F.struct("start", "stop", "hash", "size", F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int").alias("salts"), (F.struct("id", "start", "stop") == F.col("head")).alias("first")).alias("c"))
+    cand = cut(named.groupBy("id").agg(F.collect_set("c").alias("cand")))  # at most three for each line of a text
+    held = map_batches(rows.join(cand, "id"), _data, "id long, start int, stop int, hash long, size long, salts int, first boolean, data binary")
+    salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "start"), F.col("salts")).cast("int")))
     dealt = held.withColumn("salt", F.explode(salt)).repartition(F.col("hash"), F.col("size"), F.col("salt")).sortWithinPartitions("hash", "size", "salt", F.desc("first"))
-    drops = map_batches(dealt, _equal, "id long, chunk int").groupBy("id").agg(F.collect_set("chunk").alias("drop"))
+    drops = map_batches(dealt, _equal, "id long, start int, stop int, hash long, size long, gone int").groupBy("id").agg(F.collect_set(F.struct("start", "stop", "hash", "size", "gone")).alias("drop"))
     return map_batches(rows.join(drops, "id", "left"), _rebuild, "doc_id long, text string, lines_removed int")
 
 
