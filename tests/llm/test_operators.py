@@ -217,3 +217,17 @@ def test_language_model_counts(spark):
     n, v = 4 + 4, 3  # words a, a, b, b and four ends
     assert got[1].train_tokens == n and got[1].n_tokens == 4 and got[4].n_known == 2
     assert abs(got[4].base_score - (np.log10(1) + np.log10(3) + np.log10(5) - 3 * np.log10(n + v + 1))) < 1e-9
+
+
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 50)
+    given, real = [], language_model.map_batches
+
+    def seen(df, f, schema, *more):
+        if schema == "p binary, n double":
+            given.append(sorted(r.doc_id for r in df.collect()))
+        return real(df, f, schema, *more)
+
+    monkeypatch.setattr(language_model, "map_batches", seen)
+    language_model.Model(spark.createDataFrame([(i, f"a b {i} " * 5) for i in range(200)], "doc_id long, text string"))
+    assert len(given) == language_model.ROUNDS and sorted(sum(given, [])) == list(range(200))

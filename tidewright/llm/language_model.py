@@ -6,8 +6,8 @@ of words of like frequency. All other words are one `unknown` token there, times
 the vocabulary, so that the score is the log probability of the complete text.
 
 Training: truncated backpropagation through windows of WINDOW tokens, the state being carried from one window to the next.
-A fixed share of the training documents is dealt to shards of about SHARD_TOKENS tokens, so what is learned from grows with
-the corpus while a task's work doesn't; each round trains every shard from the same weights and averages them in a tree.
+All training documents are dealt to ROUNDS rounds and, in each, to shards of about SHARD_TOKENS tokens, so each document is
+learned from once while a task's work doesn't grow; a round trains its shards from the same weights and averages them in a tree.
 
 Scoring: a task holds up to BUFFER tokens of ids, spread over LANES; each lane reads document after document, carries the
 state through all windows of one and clears it at the next. Counts of the HEAD most frequent words are sent to the tasks
@@ -42,7 +42,6 @@ LANES = 256
 WINDOW = 16
 BUFFER = 3_000_000
 TRAIN_LANES, TRAIN_PART = 32, 512
-SAMPLE = 40  # one training document of so many trains the recurrent part; more while that is under a shard a round
 SHARD_TOKENS = 300_000
 ROUNDS = 2
 FAN_IN = 16
@@ -61,7 +60,12 @@ def pack(p: Params) -> bytes:
 
 
 def unpack(data: bytes) -> Params:
-    flat, out, at = np.frombuffer(data, dtype=np.float32).copy(), {}, 0
+    return views(np.frombuffer(data, dtype=np.float32).copy())
+
+
+def views(flat: np.ndarray) -> Params:
+    """The parts of one vector that holds all parameters."""
+    out, at = {}, 0
     for k, s in shapes().items():
         out[k] = flat[at : at + math.prod(s)].reshape(s)
         at += math.prod(s)
@@ -182,8 +186,9 @@ def train(p: Params, docs: list[np.ndarray], rate: float = 0.01) -> Params:
     """One pass of truncated backpropagation over docs, by Adam."""
     if not docs:
         return p
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    flat = np.concatenate([p[k].ravel() for k in shapes()])
+    grad, m, v, scratch = (np.zeros_like(flat) for _ in range(4))
+    p, g = views(flat), views(grad)
     parts = [d[i : i + TRAIN_PART] for d in docs for i in range(0, len(d), TRAIN_PART)]  # so that lanes end together
     ids, _, size = _streams(parts, TRAIN_LANES)
     h0 = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
@@ -202,7 +207,6 @@ def train(p: Params, docs: list[np.ndarray], rate: float = 0.01) -> Params:
             states.append(to)
             h, last = to, ids[t, :n]
         h0, last0 = h, last
-        g = {k: np.zeros_like(x) for k, x in p.items()}
         targets = np.concatenate([*(k[0] for k in kept[1:]), last])
         _, dout = output(p, np.concatenate(states), targets, g)
         dout = dout.reshape(len(kept), n, HIDDEN)
@@ -219,12 +223,15 @@ def train(p: Params, docs: list[np.ndarray], rate: float = 0.01) -> Params:
             dh = d * (1 - z) + drh * r + dg @ p["rec"].T
             dh[x == END] = 0
         steps += 1
-        total = n * len(kept)
-        for k in p:
-            x = g[k] / total
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            p[k] -= (rate * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
+        grad /= n * len(kept)
+        m *= 0.9
+        m += np.multiply(grad, 0.1, out=scratch)
+        v *= 0.99
+        v += np.multiply(np.multiply(grad, grad, out=scratch), 0.01, out=scratch)
+        np.sqrt(np.divide(v, 1 - 0.99**steps, out=scratch), out=scratch)
+        scratch += 1e-6
+        flat -= np.multiply(np.divide(m, scratch, out=scratch), rate / (1 - 0.9**steps), out=scratch)
+        grad[:] = 0
     return p
 
 
@@ -301,9 +308,8 @@ class Model:
         return np.array([*(get(w, UNKNOWN) for w in words(text)), END], dtype=np.int32)
 
     def _trained(self, docs: DataFrame, k: int) -> Params:
-        share = min(1.0, max(1 / SAMPLE, ROUNDS * SHARD_TOKENS / max(1, self.tokens)))
-        chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)).between(int(1_000_003 * k * share / ROUNDS), int(1_000_003 * (k + 1) * share / ROUNDS) - 1))
-        shards = max(1, round(self.tokens * share / ROUNDS / SHARD_TOKENS))
+        chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROUNDS)) == k)
+        shards = max(1, round(self.tokens / ROUNDS / SHARD_TOKENS))
         start, ids = pack(self.params), self.ids
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +331,7 @@ class Model:
                 yield pa.RecordBatch.from_pydict({"p": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n])})
 
         schema = "p binary, n double"
-        now = map_batches(chosen.repartition(shards, "doc_id"), fit, schema)
+        now = cut(map_batches(chosen.repartition(shards, "doc_id"), fit, schema))  # else the tree's few tasks would train the shards
         parts = now.rdd.getNumPartitions()
         while parts > 1:  # a tree, whose root alone reaches the driver
             parts = math.ceil(parts / FAN_IN)
