@@ -48,3 +48,8 @@ def test_top_changelog(spark):
             for p in range(at, len(best)):
                 want += [(2, p + 1, old[p][1]), (3, p + 1, best[p][1])] if p < len(old) else [(0, p + 1, best[p][1])]
     assert got == want
+
+
+def test_map_projection_reads_all_keys(spark):
+    want = table(spark, FOLDER, "orders").where("o_orderstatus <> 'O'")
+    assert catalog.QUERIES["map_projection"](spark, FOLDER).count() == want.count() > want.where("o_orderkey BETWEEN 100 AND 10000").count()
