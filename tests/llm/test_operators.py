@@ -203,6 +203,20 @@ def test_recurrent_gradient_and_score(monkeypatch):
             total += float(language_model.output(p, h, np.array([x]))[0][0])
             last = x
         assert abs(total - s) < 1e-3
+    whole = np.concatenate([p[k].ravel() for k in language_model.shapes()]).astype(np.float32)
+    t = language_model.Trainer(language_model.views(whole.copy()))
+    ids, _, size = language_model._streams(docs, 3)
+    assert len(ids) > 16  # one window that holds all, ends and lanes of different length included
+    seen = []
+    t._update = lambda full: seen.append(t.grad.astype(np.float64).copy())
+    t._window(ids, size, np.zeros((3, language_model.HIDDEN), dtype=np.float32), np.zeros(3, dtype=np.int32), 1)
+    loss = lambda flat: -language_model.score(language_model.views(flat.astype(np.float32)), docs).sum()
+    monkeypatch.setattr(language_model, "WINDOW", 1000)
+    for _ in range(12):  # along random directions, the derivative of the loss is the gradient's share
+        way = rng.standard_normal(len(whole))
+        step = 2e-3
+        slope = (loss(whole + step * way) - loss(whole - step * way)) / (2 * step)
+        assert abs(slope - seen[0] @ way) < 0.02 * np.abs(seen[0]).sum() ** 0.5 + 0.03 * abs(slope)
     same = [np.array([1, 2, 3, 4] * 60 + [0], dtype=np.int32)] * 40
     q = p
     for _ in range(4):

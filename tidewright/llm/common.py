@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def lower_ascii(c: Column | str) -> Column:
 
 def remainder(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`: the fold a row belongs to. A null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % mod
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % mod
 
 
 def words(text: str | None) -> list[bytes]:
@@ -31,6 +33,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same words, as text, of a column of texts in one array, and the number of words of each text (null: none)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.not_equal(flat, "")
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    return flat.filter(real), np.diff(before[ends])
+
+
 def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
 

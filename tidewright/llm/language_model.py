@@ -6,12 +6,13 @@ of words of like frequency. All other words are one `unknown` token there, times
 the vocabulary, so that the score is the log probability of the complete text.
 
 Training: truncated backpropagation through windows of WINDOW tokens, the state being carried from one window to the next.
-All training documents are dealt to ROUNDS rounds and, in each, to shards of about SHARD_TOKENS tokens, so each document is
-learned from once while a task's work doesn't grow; a round trains its shards from the same weights and averages them in a tree.
+All training documents are dealt to ROUNDS rounds; each is learned from once, whole. In a round, tasks start from the same
+weights, learn from the documents they read, in shards of about SHARD_TOKENS tokens, and are averaged in a tree. LANES of a
+shard are read side by side; a lane reads document after document, with the state cleared between them.
 
 Scoring: a task holds up to BUFFER tokens of ids, spread over LANES; each lane reads document after document, carries the
 state through all windows of one and clears it at the next. Counts of the HEAD most frequent words are sent to the tasks
-(a fixed bound); rarer words are joined with their counts, summed by the text's hash, so that copies count once.
+(a fixed bound); rarer words are joined with their counts, and summed by document with partial aggregation.
 
 Defined results: null and empty texts are the end token alone; without training rows all counts are 0; repeated rows are
 scored each; an empty table gives an empty result; other columns are not read.
@@ -20,16 +21,16 @@ scored each; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches, remainder, words
+from tidewright.llm.common import map_batches, remainder, split_words
 from tidewright.session import cut
 from tidewright.sources import table
 
@@ -38,12 +39,13 @@ CLASSES = CLASS_SIZE = 64
 VOCAB = CLASSES * CLASS_SIZE  # with the end (0) and the unknown word (1)
 HIDDEN = 16
 HEAD = 200_000
-LANES = 256
+LANES = 256  # read side by side; fewer, but MIN_LANES at least, where a shard would else give fewer than UPDATES steps
+MIN_LANES, UPDATES = 16, 350
 WINDOW = 16
-BUFFER = 3_000_000
-TRAIN_LANES, TRAIN_PART = 32, 512
-SHARD_TOKENS = 300_000
+BUFFER = SHARD_TOKENS = 3_000_000
+COUNTED = 4_000_000  # words held while they are counted
 ROUNDS = 2
+RATE = 0.02
 FAN_IN = 16
 END, UNKNOWN = 0, 1
 
@@ -103,34 +105,43 @@ def output(p: Params, h: np.ndarray, target: np.ndarray, grads: Params | None =
     cls, slot = target // CLASS_SIZE, target % CLASS_SIZE
     a = h @ p["cls_w"] + p["cls_b"]
     a -= a.max(1, keepdims=True)
-    ex = np.exp(a)
-    total = ex.sum(1)
     rows = np.arange(len(target))
-    logp = a[rows, cls] - np.log(total)
+    logp = a[rows, cls]
+    ex = np.exp(a, out=a)
+    total = ex.sum(1)
+    logp -= np.log(total)
     dh = None
     if grads is not None:
-        da = ex / total[:, None]
-        da[rows, cls] -= 1
-        grads["cls_w"] += h.T @ da
-        grads["cls_b"] += da.sum(0)
-        dh = da @ p["cls_w"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in np.unique(cls).tolist():
-        at = order[bounds[c] : bounds[c + 1]]
-        hc, s = h[at], slot[at]
-        b = hc @ p["word_w"][c] + p["word_b"][c]
+        ex /= total[:, None]
+        ex[rows, cls] -= 1
+        grads["cls_w"] += h.T @ ex
+        grads["cls_b"] += ex.sum(0)
+        dh = ex @ p["cls_w"].T
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    hs, slots = h[order], slot[order]
+    inner, dhs = np.empty_like(logp), np.empty_like(hs)
+    for c in range(CLASSES):
+        lo, hi = bounds[c], bounds[c + 1]
+        if lo == hi:
+            continue
+        hc, s, k = hs[lo:hi], slots[lo:hi], rows[: hi - lo]
+        b = hc @ p["word_w"][c]
+        b += p["word_b"][c]
         b -= b.max(1, keepdims=True)
-        ex = np.exp(b)
+        own = b[k, s]
+        ex = np.exp(b, out=b)
         total = ex.sum(1)
-        k = np.arange(len(at))
-        logp[at] += b[k, s] - np.log(total)
+        inner[lo:hi] = own - np.log(total)
         if grads is not None:
-            db = ex / total[:, None]
-            db[k, s] -= 1
-            grads["word_w"][c] += hc.T @ db
-            grads["word_b"][c] += db.sum(0)
-            dh[at] += db @ p["word_w"][c].T
+            ex /= total[:, None]
+            ex[k, s] -= 1
+            grads["word_w"][c] += hc.T @ ex
+            grads["word_b"][c] += ex.sum(0)
+            dhs[lo:hi] = ex @ p["word_w"][c].T
+    logp[order] += inner
+    if dh is not None:
+        dh[order] += dhs
     return logp, dh
 
 
@@ -182,100 +193,144 @@ def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(p: Params, docs: list[np.ndarray], rate: float = 0.01) -> Params:
-    """One pass of truncated backpropagation over docs, by Adam."""
-    if not docs:
-        return p
-    flat = np.concatenate([p[k].ravel() for k in shapes()])
-    grad, m, v, scratch = (np.zeros_like(flat) for _ in range(4))
-    p, g = views(flat), views(grad)
-    parts = [d[i : i + TRAIN_PART] for d in docs for i in range(0, len(d), TRAIN_PART)]  # so that lanes end together
-    ids, _, size = _streams(parts, TRAIN_LANES)
-    h0 = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
-    last0 = np.full(ids.shape[1], END, dtype=np.int32)
-    steps = 0
-    for t0 in range(0, len(ids), WINDOW):
-        n = int(np.searchsorted(-size, -min(t0 + WINDOW, len(ids)) + 1, side="left"))  # lanes that fill the window
-        if 2 * n < min(TRAIN_LANES, len(parts)):  # what few lanes still read is too little for a step
-            break
-        h, last = h0[:n], last0[:n]
+class Trainer:
+    """Truncated backpropagation by Adam, from the weights p on; `fit` may be called for one shard after another."""
+
+    def __init__(self, p: Params, rate: float = RATE):
+        self.flat = np.concatenate([p[k].ravel() for k in shapes()])
+        self.grad, self.m, self.v, self.scratch = (np.zeros_like(self.flat) for _ in range(4))
+        self.p, self.g = views(self.flat), views(self.grad)
+        self.rate, self.steps = rate, 0
+
+    def fit(self, docs: list[np.ndarray]) -> Params:
+        """One pass over docs, whole and in order within a lane; the state is carried from window to window until a document ends."""
+        tokens = sum(map(len, docs))
+        if not tokens:
+            return self.p
+        n = min(LANES, max(MIN_LANES, tokens // (WINDOW * UPDATES)))
+        ids, _, size = _streams(docs, n)
+        state = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
+        last = np.full(ids.shape[1], END, dtype=np.int32)
+        full = ids.shape[1] * WINDOW
+        for t0 in range(0, len(ids), WINDOW):
+            state, last = self._window(ids[t0 : t0 + WINDOW], size - t0, state, last, full)
+        return self.p
+
+    def _window(self, ids: np.ndarray, left: np.ndarray, state: np.ndarray, last: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes are ordered by what is left of them: those that end within the window leave it at the back."""
+        p, g = self.p, self.g
         kept, states = [], []
-        for t in range(t0, min(t0 + WINDOW, len(ids))):
+        h = state
+        for t in range(len(ids)):
+            n = int(np.searchsorted(-left, -t, side="left"))
+            if not n:
+                break
+            h, last = h[:n], last[:n]
             h = np.where((last == END)[:, None], np.float32(0), h)
             to, z, r, c, rh = step(p, last, h)
             kept.append((last, h, z, r, c, rh))
             states.append(to)
             h, last = to, ids[t, :n]
-        h0, last0 = h, last
-        targets = np.concatenate([*(k[0] for k in kept[1:]), last])
+        targets = np.concatenate([ids[t, : len(k[0])] for t, k in enumerate(kept)])
         _, dout = output(p, np.concatenate(states), targets, g)
-        dout = dout.reshape(len(kept), n, HIDDEN)
-        dh = np.zeros((n, HIDDEN), dtype=np.float32)
+        ends = np.cumsum([len(k[0]) for k in kept]).tolist()
+        dh = np.zeros((0, HIDDEN), dtype=np.float32)
+        dgs, dcs = [], []
         for k in range(len(kept) - 1, -1, -1):
-            x, h, z, r, c, rh = kept[k]
-            d = dout[k] + dh
+            x, h0, z, r, c, rh = kept[k]
+            d = dout[ends[k] - len(x) : ends[k]]
+            d[: len(dh)] += dh
             dc = d * z * (1 - c * c)
             drh = dc @ p["cand"].T
-            dg = np.concatenate((d * (c - h) * z * (1 - z), drh * h * r * (1 - r)), 1)
-            g["cand"] += rh.T @ dc
-            g["rec"] += h.T @ dg
-            np.add.at(g["emb"], x, np.concatenate((dg, dc), 1))
+            dg = np.concatenate((d * (c - h0) * z * (1 - z), drh * h0 * r * (1 - r)), 1)
             dh = d * (1 - z) + drh * r + dg @ p["rec"].T
             dh[x == END] = 0
-        steps += 1
-        grad /= n * len(kept)
+            dgs.append(dg)
+            dcs.append(dc)
+        dg, dc = np.concatenate(dgs[::-1]), np.concatenate(dcs[::-1])
+        g["cand"] += np.concatenate([k[5] for k in kept]).T @ dc
+        g["rec"] += np.concatenate([k[1] for k in kept]).T @ dg
+        read = np.concatenate([k[0] for k in kept])
+        order = np.argsort(read.astype(np.uint16), kind="stable")
+        found = read[order]
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        g["emb"][found[first]] += np.add.reduceat(np.concatenate((dg, dc), 1)[order], first, axis=0)
+        self._update(full)
+        return h, last
+
+    def _update(self, full: int) -> None:
+        """Adam, in place. The loss is the mean over a full window, so that what few lanes still read weighs as little as it is."""
+        flat, grad, m, v, scratch = self.flat, self.grad, self.m, self.v, self.scratch
+        self.steps += 1
+        grad /= full
         m *= 0.9
         m += np.multiply(grad, 0.1, out=scratch)
         v *= 0.99
         v += np.multiply(np.multiply(grad, grad, out=scratch), 0.01, out=scratch)
-        np.sqrt(np.divide(v, 1 - 0.99**steps, out=scratch), out=scratch)
+        np.sqrt(np.divide(v, 1 - 0.99**self.steps, out=scratch), out=scratch)
         scratch += 1e-6
-        flat -= np.multiply(np.divide(m, scratch, out=scratch), rate / (1 - 0.9**steps), out=scratch)
+        flat -= np.multiply(np.divide(m, scratch, out=scratch), self.rate / (1 - 0.9**self.steps), out=scratch)
         grad[:] = 0
-    return p
+
+
+def train(p: Params, docs: list[np.ndarray], rate: float = RATE) -> Params:
+    """One pass of truncated backpropagation over docs."""
+    return Trainer(p, rate).fit(docs)
+
+
+class Vocabulary:
+    """What all tasks know of words: `counts` by falling frequency, of which the first VOCAB - 2 have ids."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.words = pa.array(list(counts), pa.string())
+        n = min(len(counts), VOCAB - 2)
+        #: By place in counts, and for the words that aren't there.
+        self.ids = np.full(len(counts) + 1, UNKNOWN, dtype=np.int32)
+        self.ids[:n] = np.arange(2, n + 2)
+        self.logs = np.array([*(math.log10(c + 1.0) for c in counts.values()), 0.0])
+
+    def places(self, found: pa.Array, known: int | None = None) -> np.ndarray:
+        """The place of each word in counts, of which the first `known` count; that after the last for other words."""
+        at = pc.index_in(found, value_set=self.words if known is None else self.words.slice(0, known))
+        return pc.fill_null(at, len(self.words)).to_numpy()
+
+    def documents(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, with its end."""
+        found, sizes = split_words(column)
+        return with_ends(self.ids[self.places(found, VOCAB - 2)], sizes)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids of texts of these sizes, each followed by END."""
+    stops = np.cumsum(sizes)
+    out = np.full(len(ids) + len(sizes), END, dtype=np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return np.split(out, stops + np.arange(1, len(sizes) + 1))[:-1]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) of all words of docs(doc_id, text), counted within tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            got = list(held.items())
+            got = pa.chunked_array(held, pa.string()).value_counts()
             for i in range(0, len(got), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got[i : i + 100_000]], pa.binary()), pa.array([c for _, c in got[i : i + 100_000]], pa.int64())], names=["word", "c"])
-            held.clear()
+                part = got.slice(i, 100_000)
+                yield pa.RecordBatch.from_arrays([part.field("values"), part.field("counts")], names=["word", "c"])
 
         for b in batches:
-            for t in b.column(1).to_pylist():
-                held.update(words(t))
-            if len(held) > 700_000:
+            held.append(split_words(b.column(1))[0])
+            size += len(held[-1])
+            if size > COUNTED:
                 yield from out()
-        yield from out()
-
-    return map_batches(docs.select("doc_id", "text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+                held, size = [], 0
+        if held:
+            yield from out()
 
-
-def _rare(known: set[bytes]):
-    """Rows (text's hash, word, times) of the words that are not known, once for each text in a task; word null: the text itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for b in batches:
-            mark, word, times = [], [], []
-            for t in b.column(1).to_pylist():
-                k = text_mark(t)
-                if k in done:
-                    continue
-                done.add(k)
-                fresh = Counter(w for w in words(t) if w not in known)
-                mark += [k] * (1 + len(fresh))
-                word += [None, *fresh]
-                times += [1, *fresh.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(word, pa.binary()), pa.array(times, pa.int32())], names=["mark", "word", "times"])
-
-    return run
+    return map_batches(docs.select("doc_id", "text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def text_mark(text: str | None) -> int:
@@ -293,33 +348,34 @@ class Model:
         head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
         self.head = dict(zip(head["word"].to_pylist(), head["c"].to_pylist(), strict=True))
         self.counts = counts
-        self.ids = {w: i + 2 for i, w in enumerate(list(self.head)[: VOCAB - 2])}
+        self.words = Vocabulary(self.head)
         known = sum(list(self.head.values())[: VOCAB - 2])
-        self.rest_tokens, self.rest_types = self.tokens - self.rows - known, max(0, self.types - (self.rows > 0) - len(self.ids))
+        self.rest_tokens, self.rest_types = self.tokens - self.rows - known, max(0, self.types - (self.rows > 0) - min(len(self.head), VOCAB - 2))
         by_id = np.full(VOCAB, -1.0)
         by_id[END], by_id[UNKNOWN] = self.rows, self.rest_tokens
-        by_id[2 : 2 + len(self.ids)] = list(self.head.values())[: VOCAB - 2]
+        by_id[2 : 2 + min(len(self.head), VOCAB - 2)] = list(self.head.values())[: VOCAB - 2]
         self.params = initial(by_id)
         for k in range(ROUNDS):
             self.params = self._trained(docs, k)
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        get = self.ids.get
-        return np.array([*(get(w, UNKNOWN) for w in words(text)), END], dtype=np.int32)
-
     def _trained(self, docs: DataFrame, k: int) -> Params:
+        """The weights after round k. Tasks train the documents they read, shard after shard, without a shuffle of texts."""
         chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROUNDS)) == k)
-        shards = max(1, round(self.tokens / ROUNDS / SHARD_TOKENS))
-        start, ids = pack(self.params), self.ids
+        start, known = pack(self.params), self.words
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get, held = ids.get, []
+            model, held, size, n = Trainer(unpack(start)), [], 0, 0
             for b in batches:
-                held += [(d if d is not None else -1, np.array([*(get(w, UNKNOWN) for w in words(t)), END], dtype=np.int32)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                held += known.documents(b.column(1))
+                size = sum(map(len, held))
+                if size >= SHARD_TOKENS:
+                    model.fit(held)
+                    held, n = [], n + size
             if held:
-                held.sort(key=lambda x: (x[0], len(x[1])))
-                n = sum(len(x) for _, x in held)
-                yield pa.RecordBatch.from_pydict({"p": pa.array([pack(train(unpack(start), [x for _, x in held]))], pa.binary()), "n": pa.array([float(n)])})
+                model.fit(held)
+                n += size
+            if n:
+                yield pa.RecordBatch.from_pydict({"p": pa.array([pack(model.p)], pa.binary()), "n": pa.array([float(n)])})
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0.0
@@ -331,7 +387,7 @@ class Model:
                 yield pa.RecordBatch.from_pydict({"p": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n])})
 
         schema = "p binary, n double"
-        now = cut(map_batches(chosen.repartition(shards, "doc_id"), fit, schema))  # else the tree's few tasks would train the shards
+        now = cut(map_batches(chosen, fit, schema))  # else the tree's few tasks would train the shards
         parts = now.rdd.getNumPartitions()
         while parts > 1:  # a tree, whose root alone reaches the driver
             parts = math.ceil(parts / FAN_IN)
@@ -345,53 +401,74 @@ class Model:
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs(doc_id, text)."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        head, ids, params, ended = self.head, self.ids, pack(self.params), self.rows
-        rare = map_batches(rows, _rare(set(head)), "mark long, word binary, times int")
-        joined = rare.join(self.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        word = F.col("word").isNotNull()
-        sums = joined.groupBy("mark").agg(
-            F.count_if(~word).alias("copies"),
-            F.sum(F.when(word, F.col("times") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("rare_log"),
-            F.sum(F.when(word & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("rare_known"),
-        ).select("mark", (F.col("rare_log") / F.col("copies")).alias("rare_log"), F.expr("rare_known div copies").alias("rare_known"))
-        logs = {w: math.log10(c + 1.0) for w, c in head.items()}
+        known, params, ended = self.words, pack(self.params), self.rows
         end_log = math.log10(ended + 1.0)
 
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(doc_id, mark, word, times) of the words that `known` lacks."""
+            for b in batches:
+                found, sizes = split_words(b.column(1))
+                away = known.places(found) == len(known.words)
+                codes = found.filter(pa.array(away)).dictionary_encode()
+                n = len(codes.dictionary) + 1
+                pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[away] * n + codes.indices.to_numpy(), return_counts=True)
+                row, word = pairs // n, pairs % n
+                marks = np.array([text_mark(t) for t in b.column(1).to_pylist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(marks[row]), codes.dictionary.take(pa.array(word)), pa.array(times.astype(np.int64))], names=["doc_id", "mark", "word", "times"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = unpack(params)
-            get, held, size = ids.get, [], 0
+            held: list[pa.RecordBatch] = []
+            texts: list[np.ndarray] = []
+            size = 0
 
-            def out() -> pa.RecordBatch:
-                scores = score(p, [x[1] for x in held]) / math.log(10)
-                cols = list(zip(*[(d, m, len(x), k, b, u, f) for d, x, m, k, b, u, f in held], strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
-                names = ["doc_id", "mark", "n_tokens", "head_known", "head_log", "unknown", "unknown_log"]
-                return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(scores)], names=[*names, "rnn"])
+            def out() -> Iterator[pa.RecordBatch]:
+                scores = score(p, texts) / math.log(10)
+                at = 0
+                for x in held:
+                    yield x.append_column("rnn", pa.array(scores[at : at + x.num_rows]))
+                    at += x.num_rows
 
             for b in batches:
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    w = words(t)
-                    x = np.array([*(get(y, UNKNOWN) for y in w), END], dtype=np.int32)
-                    found = [logs[y] for y in w if y in logs]
-                    spelled = sum(logs[y] for y in w if y in logs and y not in ids)
-                    held.append((d, x, text_mark(t), len(found) + (ended > 0), sum(found) + end_log, int((x == UNKNOWN).sum()), spelled))
-                    size += len(x)
+                found, sizes = split_words(b.column(1))
+                at = known.places(found)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                per_row = lambda w: np.bincount(row, weights=w, minlength=len(sizes)).astype(np.float64)
+                ids, logs, there = known.ids[at], known.logs[at], at < len(known.words)
+                texts += with_ends(ids, sizes)
+                cols = {
+                    "doc_id": b.column(0),
+                    "mark": pa.array([text_mark(t) for t in b.column(1).to_pylist()], pa.int64()),
+                    "n_tokens": pa.array(sizes + 1, pa.int64()),
+                    "head_known": pa.array(per_row(there).astype(np.int64) + (ended > 0)),
+                    "head_log": pa.array(per_row(logs) + end_log),
+                    "unknown": pa.array(per_row(ids == UNKNOWN).astype(np.int64)),
+                    "unknown_log": pa.array(per_row(np.where(ids == UNKNOWN, logs, 0.0))),
+                }
+                held.append(pa.RecordBatch.from_pydict(cols))
+                size += int(sizes.sum())
                 if size > BUFFER:
-                    yield out()
-                    held, size = [], 0
+                    yield from out()
+                    held, texts, size = [], [], 0
             if held:
-                yield out()
+                yield from out()
 
-        schema = "doc_id long, mark long, n_tokens long, head_known long, head_log double, unknown long, unknown_log double, rnn double"
-        told = map_batches(rows, run, schema).join(sums, "mark", "left")
+        told = map_batches(rows, run, "doc_id long, mark long, n_tokens long, head_known long, head_log double, unknown long, unknown_log double, rnn double")
+        found = map_batches(rows, rare, "doc_id long, mark long, word string, times long").join(self.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        none = {"n_tokens": "long", "head_known": "long", "head_log": "double", "unknown": "long", "unknown_log": "double", "rnn": "double"}
+        words_ = found.select("doc_id", "mark", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(0).alias("copies"), (F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_log"), F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0)).cast("long").alias("rare_known"))
+        rows_ = told.withColumns({"copies": F.lit(1), "rare_log": F.lit(0.0), "rare_known": F.lit(0).cast("long")})
+        # repeated rows of one id and text are one group, whose rare words count as often as it has rows
+        one = rows_.unionByName(words_).groupBy("doc_id", "mark").agg(*[F.max(c).alias(c) for c in none], *[F.sum(c).alias(c) for c in ("copies", "rare_log", "rare_known")])
+        one = one.withColumns({"rare_log": F.col("rare_log") / F.col("copies"), "rare_known": F.expr("rare_known div copies"), "copy": F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))})
         rest = math.log10(self.rest_tokens + self.rest_types + 1.0)
-        return told.select(
+        return one.select(
             "doc_id",
             "n_tokens",
-            (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+            (F.col("head_known") + F.col("rare_known")).alias("n_known"),
             F.lit(int(self.tokens)).cast("long").alias("train_tokens"),
-            (F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(self.tokens + self.types + 1.0))).alias("base_score"),
-            (F.col("rnn") + F.col("unknown_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("unknown") * F.lit(rest)).alias("score"),
+            (F.col("head_log") + F.col("rare_log") - F.col("n_tokens") * F.lit(math.log10(self.tokens + self.types + 1.0))).alias("base_score"),
+            (F.col("rnn") + F.col("unknown_log") + F.col("rare_log") - F.col("unknown") * F.lit(rest)).alias("score"),
         )
 
 
