@@ -27,10 +27,43 @@ def test_classes(spark, monkeypatch):
     assert X.classes(docs.limit(0)).count() == 0
 
 
+def test_huge_texts_are_hashed_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(X, "HUGE", 100)
+    monkeypatch.setattr(X, "PART", 37)
+    text = "Größe des Texts, " * 40
+    rows = [(1, text), (2, text.swapcase().swapcase()), (2, text), (3, text + "x"), (4, text.upper().replace("SS", "ss").replace("Ö", "ö")), (5, "short"), (None, text), (6, "y" * 100), (7, "y" * 101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.size, r.fp) for r in X.huge_prints(docs.where("doc_id is not null")).collect())
+    want = sorted((i, len(X.normal(t)), X.packed(X.fingerprint(X.normal(t)))) for i, t in rows if i and len(t.encode()) > 100)
+    assert got == want
+    normal = {}
+    for i, t in rows:
+        normal.setdefault(X.normal(t), []).append(i if i is not None else -1)
+    assert sorted((r.doc_id or -1, r.keep_id, r.group_size) for r in X.classes(docs).collect()) == sorted((i, max(ids), len(ids)) for ids in normal.values() for i in ids)
+
+
+def test_hot_groups_are_salted_and_names_may_clash(spark, monkeypatch):
+    from tidewright.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(X, "MEMBERS_PER_SALT", 7)
+    rows = [(i, ["same Text", "own", "", "b c"][0 if i < 90 else i % 4] + (str(i) if i % 4 == 1 and i >= 90 else "")) for i in range(160)] + [(None, "same text"), (None, "c"), (3, "other")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "doc_id as sha", "1 as _sha", "2 as _id", "3 as id", "'q' as repeated", "4 as __salt")
+    by = {}
+    for i, t in rows:
+        by.setdefault(t.lower(), []).append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in by.items()}
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in X.classes(docs).collect()) == sorted((str(i), str(best[t]), len(ids)) for t, ids in by.items() for i in ids)
+    left = X.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text.lower(), str(r.sha), r.id) for r in left.collect()) == sorted((str(i), t, str(i), 3) for t, i in best.items())
+
+
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     real = X.map_batches
-    monkeypatch.setattr(X, "map_batches", lambda df, f, schema: real(df, f, schema).withColumn("fp", F.lit(0)) if "fp long" in schema else real(df, f, schema))
+    monkeypatch.setattr(X, "map_batches", lambda df, f, schema, **more: real(df, f, schema, **more).withColumn("fp", F.lit(0).cast("long")) if "fp long" in schema else real(df, f, schema, **more))
+    monkeypatch.setattr(X, "maybe_in", lambda f, keys: X.np.ones(len(keys), dtype=bool))
     docs = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, "xyz")], "doc_id long, text string")
     assert {r.doc_id: r.keep_id for r in X.classes(docs).collect()} == {1: 3, 3: 3, 2: 4, 4: 4, 5: 5}

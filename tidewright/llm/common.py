@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import cut
+
 #: Rows of an Arrow batch: with long texts, thousands of rows would not fit a worker.
 BATCH_ROWS = 400
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,3 +70,32 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(f, schema)
+
+
+#: Keys of more rows are salted, for as many keys at most (those with the most rows): what is broadcast has a fixed bound.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has one row a key and its number of rows in the column `size`. A key with more than
+    HOT_ROWS rows is dealt to salts, and its group to each of them, so that no task gets a hot key as a whole."""
+    hot = groups.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(HOT_KEYS).select(*keys, F.ceil(F.col(size) / HOT_ROWS).cast("int").alias("__salts"))
+    hot = cut(hot)
+    if hot.isEmpty():
+        return rows.join(groups, keys, how)
+    others = [c for c in rows.columns if c not in keys]
+    salt = F.coalesce(F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int"), F.lit(0)).alias("__salt")
+    dealt = rows.join(F.broadcast(hot), keys, "left").select(*rows.columns, salt)
+    copies = groups.join(F.broadcast(hot), keys, "left").select(*groups.columns, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("__salt"))
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with what it takes in front that no column of df is called so, in any spelling."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        taken.add(n)
+        out.append(n)
+    return out
