@@ -145,6 +145,21 @@ def test_line_dedup_passages_against_brute_force(spark):
         want.append(("\n".join(y for k, y in enumerate(x) if k not in gone), len(gone)))
     got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.dedup(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
+    # rows of one id, null among them, with different texts; repeated rows; clashing names
+    odd = [(5, texts[0] + ["five"]), (5, texts[1]), (5, texts[1]), (None, texts[2]), (None, texts[0] + ["none"]), (None, texts[2]), (1, ["first own"] + texts[1][2:]), (7, texts[0])]
+    rows = spark.createDataFrame([(i, "\n".join(x)) for i, x in odd], "doc_id long, text string").selectExpr("*", "1 as row", "2 as id", "3 as n")
+    hashed = {"\n".join(x): h for x, h in ((x, rows.sparkSession.createDataFrame([("\n".join(x),)], "t string").selectExpr("xxhash64(t) as h").first().h) for _, x in odd)}
+    order = sorted({(i if i is not None else 1 << 62, hashed["\n".join(x)], tuple(x)) for i, x in odd})
+    left, seen = {}, {}
+    for i, h, x in order:
+        runs = {(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if len(" ".join(x[a:b]).split()) > 50}
+        gone = set()
+        for a, b in sorted(runs | {(a, b) for a, b in line_dedup.chunks("\n".join(x)) if b - a >= 2 and len("\n".join(x[a:b])) >= 40}):
+            at, stop = seen.setdefault(tuple(x[a:b]), ((i, h), b))
+            if (at, stop) != ((i, h), b):
+                gone.update(range(max(a, stop) if at == (i, h) else a, b))
+        left[i, x] = "\n".join(y for k, y in enumerate(x) if k not in gone)
+    assert sorted((str(r.doc_id), r.text) for r in line_dedup.dedup(rows).collect()) == sorted((str(i), left[i if i is not None else 1 << 62, tuple(x)]) for i, x in odd)
     other = spark.createDataFrame([(1, "a " * 60), (None, "x\n" + "a " * 60), (None, "other\nlines")], "doc_id long, text string")
     assert sorted(r.text for r in line_dedup.dedup(other).collect()) == ["a " * 60, "other\nlines", "x"]
 
