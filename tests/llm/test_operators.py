@@ -102,7 +102,8 @@ def test_decontamination(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id")
     items = spark.createDataFrame([(10, item), (11, ""), (12, None), (13, "one two"), (14, "something else that is not there at all")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs, items).collect()}
-    assert got == {(1, 10): 2, (None, 10): 0, (5, 10): 0}
+    assert got == {(1, 10): 2, (None, 10): 0, (5, 10): 0, (1, 13): 0, (None, 13): 0, (5, 13): 0}
+    assert {r.item_id for r in decontaminate.matches(docs, items, 3).collect()} == {10}
     places = [decontaminate.Matcher([(1, item)]).find(f"{'a b c ' * k}{item} {item.replace('two', 'x')}")[0] for k in range(4)]
     assert places == [(1, 0, 3 * k) for k in range(4)]
     left = decontaminate.drop_matching(docs, items)
@@ -110,6 +111,36 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every passage within the error budget of an item is found, at its least distance; nothing else is."""
+    rng = random.Random(11)
+    words = "a b c d e f g".split()
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate((1, 2, 3, 5, 6, 7, 11, 12, 13, 18, 24))]
+    texts = []
+    for i in range(120):
+        x = rng.choices([*words, "h", "i", "j"], k=rng.randrange(0, 30))
+        part = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(part) + 1)
+            part[k : k + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+        at = rng.randrange(len(x) + 1)
+        texts.append((i, " ".join(x[:at] + part + x[at:])))
+
+    def least(p: list[str], t: list[str]) -> int:
+        row = [0] * (len(t) + 1)
+        for i, w in enumerate(p):
+            new = [i + 1]
+            for j, x in enumerate(t):
+                new.append(min(row[j] + (w != x), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = {(i, k, d) for i, t in texts for k, p in items if (d := least(p.split(), t.split())) <= len(p.split()) // 6}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, benchmark).collect()} == want and len(want) > 50
+
+
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MEMBERS_PER_SALT", 2)
     shared = "\n".join(f"shared line number {i} of the passage" for i in range(12))

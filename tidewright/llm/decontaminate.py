@@ -9,9 +9,12 @@ Texts and items are compared as lower-cased words, ASCII punctuation and white s
 the tasks in blocks of BLOCK_ITEMS rows and BLOCK_CHARS characters at most, one pass over the documents for each block, so
 that what is sent has a fixed bound however many items there are.
 
-Defined results: null and empty texts match nothing; items without words, and items of fewer than MIN_WORDS words, are not
-looked for (they would match ordinary prose); repeated rows are reported each; an item that occurs several times in a text
-is reported once, at its best place; other columns pass through `drop_matching`.
+Items of fewer than WORDS_PER_ERROR words have no error budget: they are one piece, and found where their words stand. Those
+of a word or two stand in ordinary prose; who doesn't want that gives `min_words`.
+
+Defined results: null and empty texts match nothing; items without words, or with fewer than `min_words` (1 by default), are
+not looked for; repeated rows are reported each; an item that occurs several times in a text is reported once, at its best
+place; other columns, whatever their names, pass through `drop_matching`.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from tidewright.sources import table
 
 NAME = "op9_decontaminate"
 WORDS_PER_ERROR = 6
-MIN_WORDS = 5
 BLOCK_ITEMS = 5000
 BLOCK_CHARS = 4_000_000
 _BLANK = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
@@ -77,8 +79,8 @@ def myers(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
 class Matcher:
     """items: (id, text). The automaton is built where it is first used."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, w) for i, t in items if len(w := normal(t)) >= MIN_WORDS]
+    def __init__(self, items: list[tuple[int, str]], min_words: int = 1):
+        self.items = [(i, w) for i, t in items if len(w := normal(t)) >= max(1, min_words)]
         self.automaton = None
 
     def __getstate__(self):
@@ -125,26 +127,26 @@ class Matcher:
         return sorted((self.items[k][0], d, max(0, to - len(self.items[k][1]))) for k, (d, to) in best.items())
 
 
-def matchers(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Matcher]:
+def matchers(items: DataFrame, min_words: int = 1, key: str = "item_id", text: str = "text") -> Iterator[Matcher]:
     """One for each block of items. Only one block is held at a time."""
     block: list[tuple[int, str]] = []
     size = 0
     for r in items.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), text).orderBy(key, text).toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or size + len(r[1]) > BLOCK_CHARS):
-            yield Matcher(block)
+            yield Matcher(block, min_words)
             block, size = [], 0
         block.append((r[0], r[1]))
         size += len(r[1])
     if block:
-        yield Matcher(block)
+        yield Matcher(block, min_words)
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, min_words: int = 1) -> DataFrame:
     """(doc_id, item_id, distance, place) for each item that a document holds."""
     schema = "doc_id long, item_id long, distance int, place int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out: DataFrame | None = None
-    for m in matchers(items):
+    for m in matchers(items, min_words):
 
         def run(batches: Iterator[pa.RecordBatch], m: Matcher = m) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -157,10 +159,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_matching(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_matching(docs: DataFrame, items: DataFrame, min_words: int = 1) -> DataFrame:
     """docs without the rows that hold an item; all columns pass through. Rows are judged where they are, without a shuffle."""
     at = docs.columns.index("text")
-    for m in matchers(items):
+    for m in matchers(items, min_words):
 
         def run(batches: Iterator[pa.RecordBatch], m: Matcher = m) -> Iterator[pa.RecordBatch]:
             for b in batches:
