@@ -11,11 +11,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.session import cut
 
-#: Rows of an Arrow batch: with long texts, thousands of rows would not fit a worker.
-BATCH_ROWS = 400
+#: Bytes and rows of an Arrow batch (a row of more bytes is one of its own): what a worker holds does not depend on the length of texts.
+BATCH_BYTES, BATCH_ROWS = 1 << 22, 4000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,11 +65,12 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(s)
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow over batches of a bounded number of rows."""
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow over batches of bounded size. Spark reads the bounds when the plan runs, so the session keeps them."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        if not 0 < int(conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df.mapInArrow(f, schema)
 
 

@@ -109,7 +109,7 @@ def huge_prints(rows: DataFrame) -> DataFrame:
     named = big.select("doc_id", size.alias("size"), F.sha2(F.encode(lower_ascii(F.decode(data, "utf-8")), "utf-8"), 256).alias("sha"), data, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / PART))).alias("i"))
     at = F.col("i") * PART
     parts = named.select("doc_id", "size", "sha", (F.col("i") == 0).cast("int").alias("first"), F.greatest(F.col("size") - at - PART, F.lit(0)).alias("after"), F.substring("data", (at + 1).cast("int"), F.lit(PART)).alias("data"))
-    hashed = map_batches(parts.repartition(F.col("doc_id"), F.col("sha"), F.col("after")), _shifted, "doc_id long, size long, sha string, first int, a long, b long", rows=4)
+    hashed = map_batches(parts.repartition(F.col("doc_id"), F.col("sha"), F.col("after")), _shifted, "doc_id long, size long, sha string, first int, a long, b long")
     total = hashed.groupBy("doc_id", "size", "sha").agg(*[F.sum(n).alias(n) for n in ("first", "a", "b")])  # repeated rows: as many of each chunk
     fp = F.expr(f"shiftleft((a div first) % {FIELDS[0][0]}L, 31) ^ ((b div first) % {FIELDS[1][0]}L)")
     return total.select("doc_id", fp.alias("fp"), "size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), F.col("first"))).alias("copy")).drop("copy")

@@ -38,16 +38,17 @@ NAME = "op4_language_model"
 CLASSES = CLASS_SIZE = 64
 VOCAB = CLASSES * CLASS_SIZE  # with the end (0) and the unknown word (1)
 HIDDEN = 16
-HEAD = 200_000
+HEAD = 400_000
 LANES = 256  # read side by side; fewer, but MIN_LANES at least, where a shard would else give fewer than UPDATES steps
 MIN_LANES, UPDATES = 16, 350
-WINDOW = 16
+WINDOW, SCORED = 16, 64  # steps at a time in training (what gradients reach back) and in scoring
 BUFFER = SHARD_TOKENS = 3_000_000
 COUNTED = 4_000_000  # words held while they are counted
 ROUNDS = 2
 RATE = 0.02
 FAN_IN = 16
 END, UNKNOWN = 0, 1
+SAFE = 60.0
 
 Params = dict[str, np.ndarray]
 
@@ -100,47 +101,55 @@ def step(p: Params, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return h + z * (c - h), z, r, c, rh
 
 
+def _ceilings(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What no logit h @ w + b of a softmax exceeds, as states are within -1 and 1."""
+    return (np.abs(w).sum(-2) + b).max(-1)
+
+
+def _log_softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, top: float, k: np.ndarray, own: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of own; with grads also the derivative of their negated sum by the logits. top: a bound of the logits."""
+    a = h @ w
+    a += b - top
+    if top > SAFE:  # so far above that all may vanish
+        a -= a.max(1, keepdims=True)
+    out = a[k, own]
+    ex = np.exp(a, out=a)
+    total = ex.sum(1)
+    out -= np.log(total)
+    if grads:
+        ex /= total[:, None]
+        ex[k, own] -= 1
+    return out, ex
+
+
 def output(p: Params, h: np.ndarray, target: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probabilities of target given states h; with grads: adds those of their negated sum, and returns that of h."""
     cls, slot = target // CLASS_SIZE, target % CLASS_SIZE
-    a = h @ p["cls_w"] + p["cls_b"]
-    a -= a.max(1, keepdims=True)
     rows = np.arange(len(target))
-    logp = a[rows, cls]
-    ex = np.exp(a, out=a)
-    total = ex.sum(1)
-    logp -= np.log(total)
+    told = grads is not None
+    logp, d = _log_softmax(h, p["cls_w"], p["cls_b"], float(_ceilings(p["cls_w"], p["cls_b"])), rows, cls, told)
     dh = None
-    if grads is not None:
-        ex /= total[:, None]
-        ex[rows, cls] -= 1
-        grads["cls_w"] += h.T @ ex
-        grads["cls_b"] += ex.sum(0)
-        dh = ex @ p["cls_w"].T
+    if told:
+        grads["cls_w"] += h.T @ d
+        grads["cls_b"] += d.sum(0)
+        dh = d @ p["cls_w"].T
     order = np.argsort(cls.astype(np.uint8), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
     hs, slots = h[order], slot[order]
     inner, dhs = np.empty_like(logp), np.empty_like(hs)
+    tops = _ceilings(p["word_w"], p["word_b"]).tolist()
     for c in range(CLASSES):
         lo, hi = bounds[c], bounds[c + 1]
         if lo == hi:
             continue
-        hc, s, k = hs[lo:hi], slots[lo:hi], rows[: hi - lo]
-        b = hc @ p["word_w"][c]
-        b += p["word_b"][c]
-        b -= b.max(1, keepdims=True)
-        own = b[k, s]
-        ex = np.exp(b, out=b)
-        total = ex.sum(1)
-        inner[lo:hi] = own - np.log(total)
-        if grads is not None:
-            ex /= total[:, None]
-            ex[k, s] -= 1
-            grads["word_w"][c] += hc.T @ ex
-            grads["word_b"][c] += ex.sum(0)
-            dhs[lo:hi] = ex @ p["word_w"][c].T
+        hc, w = hs[lo:hi], p["word_w"][c]
+        inner[lo:hi], d = _log_softmax(hc, w, p["word_b"][c], tops[c], rows[: hi - lo], slots[lo:hi], told)
+        if told:
+            grads["word_w"][c] += hc.T @ d
+            grads["word_b"][c] += d.sum(0)
+            dhs[lo:hi] = d @ w.T
     logp[order] += inner
-    if dh is not None:
+    if told:
         dh[order] += dhs
     return logp, dh
 
@@ -177,9 +186,9 @@ def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     ids, own, size = _streams(docs, LANES)
     h = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
     last = np.full(ids.shape[1], END, dtype=np.int32)
-    for t0 in range(0, len(ids), WINDOW):
+    for t0 in range(0, len(ids), SCORED):
         states, targets, owners = [], [], []
-        for t in range(t0, min(t0 + WINDOW, len(ids))):
+        for t in range(t0, min(t0 + SCORED, len(ids))):
             n = int(np.searchsorted(-size, -t, side="left"))  # lanes that still read
             h, last = h[:n], last[:n]
             h = np.where((last == END)[:, None], np.float32(0), h)  # a document begins; the states kept stay as they are
