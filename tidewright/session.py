@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ SETTINGS = {
     "spark.sql.parquet.binaryAsString": "true",
     "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.sql.caseSensitive": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,10 +31,14 @@ def session(app: str = "tidewright", master: str | None = None, **more: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset and all runs in this process, as in
+    tests, a temporary one; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -38,6 +46,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept reliably in the shared folder, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df`, computed once and kept reliably in the shared folder, so that lost executors cost no recomputation. Spark
+    removes the files of tables that are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+
+    A checkpoint keeps its plan's size estimate, and a join's is the product of its sides: in a loop its digits would
+    double with each round. So the plan is made anew over the kept rows, with their partitioning and without the estimate."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)
+    plan, jvm = kept._jdf.queryExecution().analyzed(), spark.sparkContext._jvm
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, plan.stream(), spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bare), spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
