@@ -3,31 +3,39 @@
 Rules are `host/path prefix` strings; one fits its host and all subdomains if the path begins with the rule's, and the
 longest that fits decides. Urls that a rule decides are the labels of the tree for those that none does.
 
-Per host, paths form a tree of LEVELS segments (what follows belongs to the last node). A segment stays literal if it
-holds MIN_SHARE of its parent's urls; the others are generalised into one wildcard branch. Top down from the rate of all
-labels, a branch without labels, or whose blocked share does not differ from its parent's (a z test), is merged with it;
-others get their own purity, smoothed towards the parent's. Urls of templates with a purity of REJECT or more are blocked.
-
-All counts are sums with partial aggregation, and joins are by whole template keys, so a host with a third of all urls is
-spread over its paths. Only two numbers, the sums of all labels, reach the driver.
+Below a root, which has the rate of all labels, stand the hosts, and below each the segments of its paths, however many; where a
+path ends, an empty segment stands. A segment stays literal if it holds the square root of its parent's urls or more, so
+that at most as many sections stay literal however evenly the urls are spread, or if LABELS labelled urls support it; the
+others are generalised into one wildcard branch. A branch without labels, or whose blocked share does not differ from its
+parent's (a z test), is merged with the parent. Of the others, siblings with similar shares (smoothed towards the parent's
+purity, and equal when the arc sine of their root is rounded to BIN) are merged, and their counts are pooled for one purity
+smoothed towards the parent's. A branch whose labels all agree has no parts that differ, so the tree goes down only
+where labels are mixed. Urls of templates with a purity of REJECT or more are blocked.
+
+Pages are read twice: for the counts of distinct paths, from which all levels are computed, and to be judged. Each level is
+kept in the shared folder. Counts are sums with partial aggregation, and joins by a key that many rows hold are salted, so
+a host, branch or url with a third of all rows is spread. Only two numbers, the sums of all labels, reach the driver.
 
 Defined results: a null url, or one without `://`, has empty host and path and is judged as the host ``; repeated rows are
-judged each; an empty table gives an empty result; further columns are not read.
+judged each; an empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import lower_ascii
+from tidewright.llm.common import lower_ascii, spread
+from tidewright.session import cut
 from tidewright.sources import table
 
 NAME = "op2_url_filter"
 #: Rule and verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-LEVELS = 3
-MIN_SHARE = 0.05
+LABELS = 8
+BIN = 0.1
 Z = 1.96
 WEIGHT = 5.0
 REJECT = 0.9
@@ -49,33 +57,51 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
+def _level(live: DataFrame, depth: int) -> DataFrame:
+    """live(host, segs, n, l, b, node, all, q): distinct paths with their urls, labels and blocked ones, the node that each has come
+    to, its urls and its purity. Gives each one's node a level below, and whether that has mixed labels."""
+    live = live.withColumn("seg", F.coalesce(F.get("segs", F.lit(depth)), F.lit("")))
+    sums = [F.sum(c).alias(c) for c in ("n", "l", "b")]
+    kept = [F.max(c).alias(c) for c in ("all", "q")]
+    kids = live.groupBy("node", "seg").agg(*sums, *kept, F.count("*").alias("paths"))
+    literal = F.lit(True) if not depth else (F.col("n") * F.col("n") >= F.col("all")) | (F.col("l") >= LABELS)
+    kids = cut(kids.withColumn("part", F.when(literal, F.concat(F.lit("/"), F.col("seg"))).otherwise("*")))
+    q, l, b = F.col("q"), F.col("l"), F.col("b")
+    alike = (l == 0) | (F.abs(b / F.nullif(l, F.lit(0)) - q) <= Z * F.sqrt(q * (1.0 - q) / F.nullif(l, F.lit(0))))
+    like = F.when(~alike, F.round(F.asin(F.sqrt((b + WEIGHT * q) / (l + WEIGHT))) / BIN)).alias("like")
+    nodes = kids.groupBy("node", "part").agg(*sums, *kept, F.sum("paths").alias("paths")).select("*", like)
+    pooled = nodes.where("like is not null").groupBy("node", "like").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"))
+    mixed = (b > 0) & (b < l) & (F.lit(not depth) | (F.col("part") != "/"))
+    found = nodes.join(pooled, ["node", "like"], "left").select("node", "part", "paths", F.col("n").alias("now_all"), F.when(F.col("like").isNull(), q).otherwise((F.col("mb") + WEIGHT * q) / (F.col("ml") + WEIGHT)).alias("now_q"), mixed.alias("mixed"))
+    found = cut(found)
+    told = ["now_all", "now_q", "mixed"]
+    named = cut(kids.where("part <> '*'").select("node", "part", "seg").join(found, ["node", "part"]).select("node", "seg", "paths", *told))
+    rest = found.where("part = '*'").select("node", F.col("paths").alias("others"), *[F.col(c).alias(f"rest_{c}") for c in told])
+    out = spread(spread(live, named, ["node", "seg"], "paths", "left", by=["segs"]), rest, ["node"], "others", "left", by=["segs"])
+    own = F.col("paths").isNotNull()
+    node = F.concat("node", F.when(own, F.concat(F.lit("/"), F.col("seg"))).otherwise("/*"))
+    return cut(out.select("host", "segs", "n", "l", "b", node.alias("node"), *[F.when(own, F.col(c)).otherwise(F.col(f"rest_{c}")).alias(c.removeprefix("now_")) for c in told]))
+
+
 def judge(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of pages(page_id, url)."""
     rules = RULES if rules is None else rules
-    segs, tmpl = [f"s{i}" for i in range(LEVELS)], [f"t{i}" for i in range(LEVELS)]
     host, path = split_url(F.col("url"))
-    verdicts = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.create_map().cast("map<string,string>")
+    verdicts = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else None
     base = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     base = base.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("told", F.element_at(verdicts, F.coalesce("rule", F.lit(""))) if rules else F.lit(None).cast("string"))
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    base = base.withColumns({s: F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i, s in enumerate(segs)})
-    paths = base.groupBy("host", *segs).agg(F.count("*").alias("n"), F.count("told").alias("l"), F.count_if(F.col("told") == "block").alias("b"))
-    for i, (s, t) in enumerate(zip(segs, tmpl, strict=True)):
-        key = ["host", *tmpl[:i]]
-        kids = paths.groupBy(*key, s).agg(F.sum("n").alias("k"))
-        literal = kids.join(kids.groupBy(*key).agg(F.sum("k").alias("total")), key).where(F.col("k") >= MIN_SHARE * F.col("total")).select(*key, s, F.col(s).alias(t))
-        paths = paths.join(literal, [*key, s], "left").withColumn(t, F.coalesce(t, F.lit("*")))
-    total = paths.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    above: DataFrame | None = None
-    for i in range(LEVELS + 1):
-        key = ["host", *tmpl[:i]]
-        nodes = paths.groupBy(*key).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-        nodes = nodes.withColumn("q", F.lit((total[1] + 1.0) / (total[0] + 2.0))) if above is None else nodes.join(above.withColumnRenamed("purity", "q"), key[:-1])
-        q, n, b = F.col("q"), F.col("l"), F.col("b")
-        alike = (n == 0) | (F.abs(b / F.nullif(n, F.lit(0)) - q) <= Z * F.sqrt(q * (1.0 - q) / F.nullif(n, F.lit(0))))
-        above = nodes.select(*key, F.when(alike, q).otherwise((b + WEIGHT * q) / (n + WEIGHT)).alias("purity"))
-    judged = paths.join(above, ["host", *tmpl]).select("host", *segs, F.concat(F.lit("/"), F.array_join(F.filter(F.array(*tmpl), lambda x: x != ""), "/")).alias("template"), "purity")
-    out = base.join(judged, ["host", *segs])
+    base = base.withColumn("segs", F.concat(F.array("host"), F.filter(F.split("path", "/"), lambda x: x != "")))
+    paths = cut(base.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("told").alias("l"), F.count_if(F.col("told") == "block").alias("b")))
+    total = paths.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("l", "b")]).first()
+    live, depth, done = paths.withColumns({"node": F.lit(""), "all": F.lit(0).cast("long"), "q": F.lit((total[1] + 1.0) / (total[0] + 2.0))}), 0, []
+    while True:
+        now = _level(live, depth)
+        done.append(now.where("not mixed"))
+        live, depth = now.where("mixed").drop("mixed"), depth + 1
+        if live.isEmpty():
+            break
+    judged = functools.reduce(DataFrame.unionByName, done).select("segs", "n", F.col("node").alias("template"), F.col("q").alias("purity"))
+    out = spread(base, judged, ["segs"], "n", by=["page_id"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("told", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
@@ -86,27 +112,32 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 def _oracle() -> str:
     rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for r in sorted(RULES, key=lambda x: (-len(x), x)) for h, _, p in [r.partition("/")]) + " END"
     told = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items()) + " END"
-    seg = ", ".join(f"coalesce(parts[{i + 1}], '') AS s{i}" for i in range(LEVELS))
-    sql = f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+    return f"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (SELECT *, {rule} AS rule, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM h),
-base AS (SELECT page_id, host, path, rule, {told} AS told, {seg} FROM r),
-p0 AS (SELECT host, s0, s1, s2, count(*) AS n, count(told) AS l, count(*) FILTER (WHERE told = 'block') AS b FROM base GROUP BY ALL)"""
-    for i in range(LEVELS):
-        key = ", ".join(["host", *[f"t{j}" for j in range(i)]])
-        sql += f""",
-p{i + 1} AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY {key}, s{i}) >= {MIN_SHARE}::DOUBLE * sum(n) OVER (PARTITION BY {key}) THEN s{i} ELSE '*' END AS t{i} FROM p{i})"""
-    sql += f""",
-q0 AS (SELECT *, (SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(l), 0) + 2.0::DOUBLE) FROM p{LEVELS}) AS q FROM p{LEVELS})"""
-    for i in range(LEVELS + 1):
-        key = ", ".join(["host", *[f"t{j}" for j in range(i)]])
-        sql += f""",
-m{i} AS (SELECT *, sum(l) OVER (PARTITION BY {key})::DOUBLE AS ml, sum(b) OVER (PARTITION BY {key})::DOUBLE AS mb FROM q{i}),
-q{i + 1} AS (SELECT * EXCLUDE (ml, mb) REPLACE (CASE WHEN ml = 0 OR abs(mb / nullif(ml, 0) - q) <= {Z}::DOUBLE * sqrt(q * (1.0::DOUBLE - q) / nullif(ml, 0)) THEN q ELSE (mb + {WEIGHT}::DOUBLE * q) / (ml + {WEIGHT}::DOUBLE) END AS q) FROM m{i})"""
-    return sql + f"""
-SELECT page_id, base.host, path, rule, coalesce(told, CASE WHEN q >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
-FROM base JOIN q{LEVELS + 1} j ON base.host = j.host AND base.s0 = j.s0 AND base.s1 = j.s1 AND base.s2 = j.s2
+r AS (SELECT *, {rule} AS rule, list_concat([host], list_filter(string_split(path, '/'), lambda x: x <> '')) AS segs FROM h),
+base AS (SELECT *, {told} AS told FROM r),
+p AS (SELECT segs, count(*) AS n, count(told) AS l, count(*) FILTER (WHERE told = 'block') AS b FROM base GROUP BY segs),
+tree AS (
+  SELECT 0 AS depth, segs, n, l, b, '' AS node, 0::DOUBLE AS whole, (SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(l), 0) + 2.0::DOUBLE) FROM p) AS q, true AS mixed FROM p
+  UNION ALL
+  SELECT depth + 1, segs, n, l, b, node || '/' || part, nn, CASE WHEN like_ IS NULL THEN q ELSE (sum(b) OVER z + {WEIGHT}::DOUBLE * q) / (sum(l) OVER z + {WEIGHT}::DOUBLE) END,
+    nb > 0 AND nb < nl AND (depth = 0 OR part <> '/')
+  FROM (
+    SELECT *, CASE WHEN nl = 0 OR abs(nb / nullif(nl, 0) - q) <= {Z}::DOUBLE * sqrt(q * (1.0::DOUBLE - q) / nullif(nl, 0)) THEN NULL ELSE round(asin(sqrt((nb + {WEIGHT}::DOUBLE * q) / (nl + {WEIGHT}::DOUBLE))) / {BIN}::DOUBLE) END AS like_
+    FROM (
+      SELECT *, (sum(n) OVER y)::DOUBLE AS nn, (sum(l) OVER y)::DOUBLE AS nl, (sum(b) OVER y)::DOUBLE AS nb
+      FROM (
+        SELECT *, CASE WHEN depth = 0 OR (sum(n) OVER x)::DOUBLE * sum(n) OVER x >= whole OR sum(l) OVER x >= {LABELS} THEN '/' || seg ELSE '*' END AS part
+        FROM (SELECT *, coalesce(segs[depth + 1], '') AS seg FROM tree WHERE mixed)
+        WINDOW x AS (PARTITION BY node, seg)
+      ) WINDOW y AS (PARTITION BY node, part)
+    )
+  ) WINDOW z AS (PARTITION BY node, like_)
+),
+judged AS (SELECT segs, arg_max(q, depth) AS q FROM tree GROUP BY segs)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN q >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM base JOIN judged USING (segs)
 """
 
 
