@@ -1,20 +1,24 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton accepts every substring of its labelled text. A word, with its boundaries marked, is
-parsed greedily into the longest phrases that the automaton accepts; a text's count of phrases over its letters estimates
-the cross entropy with that language, and the language that needs fewest wins. Words are parsed one by one, so that the
-parse of a word that repeats is kept (in a bounded memo).
+For each language a suffix automaton accepts every substring of its labelled words. A word, with its boundaries marked, is
+parsed greedily into the longest phrases that the automaton accepts. The phrases of a text, times the logarithm of the
+size of the language's labelled text, over its letters estimate the cross entropy with that language; the language that
+needs fewest so normalised phrases wins, however much labelled text others have. Words are parsed one by one, so that the
+parse of a word that repeats is kept (in a bounded memo), and a word that repeats in labelled text is accepted once.
 
-The automata are fitted on a bounded sample: SAMPLE_DOCS documents of each language, an excerpt of EXCERPT characters of
-each, at a place dealt by hash; languages get equally long text. A first fit drops excerpts that another language parses
-better (wrong labels, mixed texts), then the automata are built anew. Whole texts are predicted.
+The automata are fitted on a bounded sample: of each language the SAMPLE_DOCS distinct texts with the least hashes, or fewer
+if they have over SAMPLE_CHARS characters together (one at least). Their whole texts are learned from. A first fit drops
+texts that another language parses better (wrong labels, mixed texts), then the automata are built anew. Whole texts are
+predicted.
 
 Defined results: `und` with score 0 for null, empty and letterless texts, and for all where nothing was learned; ties go
-to the first language in order; null and empty languages are not learned; other columns are not read.
+to the first language in order; null and empty languages are not learned; rows without an id are learned from like others;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,13 +26,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewright.llm.common import map_batches, remainder
 from tidewright.sources import table
 
 NAME = "op8_langid"
-SAMPLE_DOCS = 300
-EXCERPT = 400
+SAMPLE_DOCS = 120
+SAMPLE_CHARS = 1_500_000
 MEMO = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -82,10 +87,12 @@ def letters(text: str | None) -> list[str]:
 
 
 class Model:
-    """samples: text for each language, words with single spaces. Automata are built where they are first used."""
+    """samples: for each language its distinct words, with a space around each, and the size of its labelled text. Automata
+    are built where they are first used."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, tuple[str, int]]):
         self.samples = dict(sorted(samples.items()))
+        self.factors = [math.log2(2 + n) for _, n in self.samples.values()]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.automata: list[Automaton] = []
 
@@ -99,7 +106,7 @@ class Model:
         got = self.memo.get(word)
         if got is None:
             if not self.automata:
-                self.automata = [Automaton(t) for t in self.samples.values()]
+                self.automata = [Automaton(t) for t, _ in self.samples.values()]
             marked = f" {word} "
             got = tuple(a.phrases(marked) for a in self.automata)
             if len(word) <= 40:
@@ -113,46 +120,48 @@ class Model:
         if not found or not self.samples:
             return "und", 0.0
         n = len(self.samples)
-        total, size = [0] * n, 0
+        total = [0] * n
         for w, k in Counter(found).items():
-            size += k * len(w)
             for i, c in enumerate(self.costs(w)):
                 total[i] += k * c
+        total = [t * f for t, f in zip(total, self.factors, strict=True)]
         best = min(range(n), key=total.__getitem__)
         weights = [(total[best] / t) ** 8 for t in total]
         return list(self.samples)[best], 1.0 / sum(weights)
 
 
 def fit(texts: list[tuple[str, str]]) -> Model:
-    """texts: (language, excerpt)."""
+    """texts: (language, whole text)."""
 
     def build(rows: list[tuple[str, str]]) -> Model:
-        by: dict[str, list[str]] = {}
+        by: dict[str, dict[str, None]] = {}
+        sizes: Counter[str] = Counter()
         for lang, t in rows:
-            by.setdefault(lang, []).append(" ".join(letters(t)))
-        joined = {k: f" {' '.join(v)} " for k, v in by.items() if any(v)}
-        longest = sorted(map(len, joined.values()))[len(joined) // 2] if joined else 0
-        return Model({k: v[:longest] for k, v in joined.items()})
+            found = letters(t)
+            by.setdefault(lang, {}).update(dict.fromkeys(found))
+            sizes[lang] += sum(map(len, found)) + len(found)
+        return Model({k: (f" {' '.join(v)} ", sizes[k]) for k, v in by.items() if v})
 
     first = build(texts)
-    # an excerpt is parsed by automata that hold it, so its own language has an advantage: those that lose even so go
+    # a text is parsed by automata that hold it, so its own language has an advantage: those that lose even so go
     kept = [(lang, t) for lang, t in texts if first.predict(t)[0] == lang]
     have = {lang for lang, _ in kept}
     return build(kept + [x for x in texts if x[0] not in have])
 
 
 def train(docs: DataFrame) -> Model:
-    """docs(doc_id, text, lang). The counts of all languages and at most about SAMPLE_DOCS excerpts of each reach the driver."""
-    rows = docs.where("text is not null and lang is not null and lang <> ''").select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """docs(text, lang). The counts of all languages, and the sample, reach the driver."""
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null and lang is not null and lang <> ''").withColumn("h", F.xxhash64("text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return Model({})
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))]), F.col("lang"))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1)))
-    chosen = rows.where(unit < share).select("lang", "doc_id", F.substring("text", at.cast("int"), F.lit(EXCERPT)).alias("t"))
-    got = sorted((r.lang, r.doc_id, r.t) for r in chosen.collect())
-    return fit([(lang, t) for lang, _, t in got])
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * (SAMPLE_DOCS + 20) / max(1, n)))]), F.col("lang"))
+    unit = F.pmod("h", F.lit(1_000_003)) / 1_000_003
+    chosen = rows.where(unit < share).distinct()  # copies go within tasks; some twice SAMPLE_DOCS texts of each language are left
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    ranked = chosen.withColumns({"k": F.row_number().over(first), "chars": F.sum(F.length("text").cast("long")).over(first.rowsBetween(Window.unboundedPreceding, 0))})
+    got = ranked.where((F.col("k") <= SAMPLE_DOCS) & ((F.col("chars") <= SAMPLE_CHARS) | (F.col("k") == 1))).orderBy("lang", "k").select("lang", "text").collect()
+    return fit([(r.lang, r.text) for r in got])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
