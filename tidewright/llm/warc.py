@@ -2,8 +2,10 @@
 
 Writing: each row becomes one gzip member that holds one WARC/1.1 record; a block is an HTTP response. Of equal payloads of
 at least MIN_REVISIT bytes the row with the smallest id is the response and the others refer to it; a revisit keeps the
-HTTP headers only. Spark's text writer puts the members into files, with a zero byte after each (gzip padding), in any
-store that Spark reaches; files hold FILE_RECORDS records at most.
+HTTP headers only. Payloads whose digest occurs once (a Bloom filter tells) are written where they are read; the others are
+shuffled to learn what they repeat, a digest with many rows in salts. Spark's text writer puts the members into files, with
+a zero byte after each (gzip padding), in any store that Spark reaches; files hold FILE_RECORDS records at most, and fewer
+where payloads are so large that a file could have more than FILE_BYTES.
 
 Reading: members and plain records are checked (compression, header, length, block digest). After a failed check the
 reader looks for the next place where a member or a version line begins and passes its checks, recovers what follows, and
@@ -22,17 +24,20 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches
-from tidewright.session import cut, shared_folder
+from tidewright.llm.common import map_batches, spread
+from tidewright.llm.graph import bloom, maybe_in
+from tidewright.session import cut, delete, shared_folder
 from tidewright.sources import table
 
 NAME = "op10_warc"
 MIN_REVISIT = 100
-FILE_RECORDS = 1000
+FILE_RECORDS, FILE_BYTES = 1000, 1 << 28
 STEP = 1 << 16
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/", b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -150,18 +155,43 @@ def salvage(data: bytes, inner: bool = False) -> Iterator[Record | Gap]:
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Writes a record for each row into archives below `path`."""
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "utf-8").alias("data")).withColumn("digest", F.sha2("data", 256))
-    first = rows.where(F.octet_length("data") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    told = rows.join(first, "digest", "left").select("id", "url", "data", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    data = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "utf-8")
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), data.alias("data")).withColumn("digest", F.sha2("data", 256))
+    name = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")  # 60 bits of the digest
+    size = F.octet_length("data").cast("long")
+    marks = cut(rows.select("digest", name.alias("name"), F.col("id"), size.alias("size")).groupBy("digest", "name").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("size").alias("size")))
+    most = marks.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    first = cut(marks.where(f"n > 1 and size >= {MIN_REVISIT}").select("digest", "name", "first", "n"))
+    repeated = bloom(first, "name", first.count())
+
+    def built(c: list[list], refers: list) -> pa.RecordBatch:
+        out = [member(record("null" if i is None else str(i), u, d, s, None if r is None else str(r))) for i, u, d, s, r in zip(*c, refers, strict=True)]
+        return pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+
+    def some(b: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+        """Rows whose payload may be repeated, or the others."""
+        names = np.array([int(x[:15], 16) for x in b.column(3).to_pylist()], dtype=np.uint64)
+        long = np.array([x >= MIN_REVISIT for x in pc.binary_length(b.column(2)).to_pylist()], dtype=bool)
+        return b.filter(pa.array((maybe_in(repeated, names) & long) == wanted))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = some(b, False)
+            yield built([x.to_pylist() for x in b.columns], [None] * b.num_rows)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield some(b, True)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = zip(*(x.to_pylist() for x in b.columns), strict=True)
-            out = [member(record("null" if i is None else str(i), u, d, s, None if r is None else str(r))) for i, u, d, s, r in c]
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+            yield built([x.to_pylist() for x in b.columns[:4]], b.column(4).to_pylist())
 
-    built = map_batches(told, build, "value binary").select(F.col("value").cast("string").alias("value"))
-    built.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    several = spread(map_batches(rows, maybe, "id long, url string, data binary, digest string"), first.drop("name"), ["digest"], "n", "left", by=["id", "url"])
+    several = several.select("id", "url", "data", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    members = map_batches(rows, single, "value binary").unionByName(map_batches(several, told, "value binary"))
+    held = max(1, min(FILE_RECORDS, FILE_BYTES // (most + 1024)))
+    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", held).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -201,13 +231,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write(table(spark, folder, "pages"), path)
-    out = cut(read(spark, path).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return out
+    """Of archives that were just written, a gap or a row more or less is an error, not a shorter result."""
+    path, pages = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}", table(spark, folder, "pages")
+    write(pages, path)
+    out = cut(read(spark, path).select("gap", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    told = out.agg(F.count_if(F.col("gap").isNotNull()), F.count("*")).first()
+    delete(spark, path)
+    if told[0] or told[1] != (n := pages.count()):
+        raise RuntimeError(f"{told[1] - told[0]} records and {told[0]} gaps were read of {n} pages written")
+    return out.drop("gap")
 
 
 ORACLE = """
