@@ -47,6 +47,30 @@ def test_langid(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
     assert all(got[i][0] == x for i, _, x in rows) and got[100] == got[101] == ("und", 0.0) and got[102][0] == "aa" and got[None][0] == "bb"
     assert langid.train(docs.limit(0)).predict("a b") == ("und", 0.0)
+    null = spark.createDataFrame([(None, "ka lo mi", "aa"), (None, "schu trei", "bb"), (1, "ka ka", "aa")], "doc_id long, text string, lang string")
+    assert langid.train(null).predict("kalo")[0] == "aa"
+
+
+def test_langid_prediction_against_substrings():
+    """The winner has the least sum over words of greedy longest matches, found by plain search, times log of its text's size."""
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(1, 7)))
+    texts = [(x, " ".join(word(a) for _ in range(n))) for x, a, n in (("p", "abcde", 400), ("q", "cdefg", 40), ("r", "aegbx", 90))]
+    model = langid.Model({x: (f" {' '.join(dict.fromkeys(t.split()))} ", len(t) + 1) for x, t in texts})
+    for _ in range(60):
+        text = " ".join(word(rng.choice(("abcde", "cdefg", "aegbx", "abcdefgxz"))) for _ in range(rng.randrange(1, 12)))
+        costs = {}
+        for x, t in texts:
+            n = 0
+            for w in text.split():
+                q, at = f" {w} ", 0
+                while at < len(q):
+                    size = 1
+                    while at + size < len(q) and q[at : at + size + 1] in f" {t} ":
+                        size += 1
+                    at, n = at + size, n + 1
+            costs[x] = n * np.log2(2 + len(t) + 1)
+        assert abs(costs[model.predict(text)[0]] - min(costs.values())) < 1e-9
 
 
 def test_encoder_equals_tokenizer():

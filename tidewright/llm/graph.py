@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import HOT_ROWS, spread
 from tidewright.session import cut
 
 MAX_BITS = 1 << 27
@@ -16,20 +17,25 @@ def components(edges: DataFrame) -> DataFrame:
     small-star steps (Kiveris et al., 2014) until no edge changes; hot nodes are aggregated partially before a shuffle."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """pairs: (u, v), v a neighbour of u. Links neighbours to the least of them and u."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        j = pairs.join(least, "u")
+    def star(pairs: DataFrame, large: bool, hot: bool) -> DataFrame:
+        """pairs: (u, v), v a neighbour of u. Links neighbours to the least of them and u. hot: some u has many."""
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("met")).select("u", F.least("u", "m").alias("m"), "met")
+        j = spread(pairs, cut(least), ["u"], "met") if hot else pairs.join(least, "u")
         out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
     def state(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
+        """What changes with an edge, and the most edges of a node."""
+        ends = x.select("u", "v").unionByName(x.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        met = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"))
+        return tuple(met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.col("s") * (F.col("u") % 1009)), F.coalesce(F.max("n"), F.lit(0))).first())
 
     before = state(e)
     while before[0]:
+        hot = before[2] > HOT_ROWS
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = cut(star(star(both, True), False))
+        large = star(both, True, hot)
+        e = cut(star(cut(large) if hot else large, False, hot))
         if (now := state(e)) == before:
             break
         before = now

@@ -1,19 +1,24 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document is the set of its k-word shingles, hashed to 64 bits. Sets in one order of tokens that overlap enough share
-their first two common tokens within the prefix of n - ceil(t n) + 2 tokens. The order puts rare tokens first and frequent
-ones (held by at least FREQUENT documents) last. Hence two linked sets share either a rare token among their first
-n - ceil(t n) + 1, which is indexed alone, or a pair of frequent tokens in the extended prefix, and the pair is indexed.
-Tokens of passages that many documents share so never make a bucket by themselves.
+A document is the set of its k-word shingles, hashed to 64 bits, in one order: rare tokens first, frequent ones (held by at
+least FREQUENT documents) last. Two linked sets share a rare token among their first n - ceil(t n) + 1, which is indexed
+alone, or none but frequent tokens. Then combinations of two frequent tokens are indexed, from an extended prefix. In the
+merged order of both sets' frequent tokens at most D are in one set alone, D <= o (1/t - 1) for an overlap of o; so of the
+first D + 2 common ones two stand side by side in both sets (for t >= 3/4, where o >= D + 2 follows). Pairs of neighbours
+in a prefix of 2 (n - ceil(t n)) + o (1/t - 1) + 2 hence find every link, and a set's keys grow with its size, not with its
+square. (For lesser t all pairs of the prefix that holds the first two common tokens are indexed.) Tokens of passages that
+many documents share so never make a bucket by themselves.
 
 Steps: (1) One pass finds each document's class (equal sets: one class, by a hash of the set) and counts tokens by
 blocks; the sum over blocks gives the frequent ones. Any choice of frequent tokens gives the same links, so at most
 MAX_FREQUENT are sent to the tasks. (2) Index keys of all classes are counted; those of one class only are dropped by a
 Bloom filter before the rest is shuffled. (3) Each class is verified against one hub: of the buckets' first classes (those
 whose key stands foremost) the one it meets most often. Near copies of a text so fall into one component with as many
-verifications as copies. (4) What stays are buckets with several components: their pairs of classes in different
-components that pass the length and position filters are verified. No pair within a component is ever made. (5)
-Components of all verified links by alternating stars.
+verifications as copies. (4) What stays are buckets with several components. In those of at most BUCKET classes, pairs of
+classes in different components that pass the length and position filters are verified. Larger ones are taken up in
+rounds: at most HUBS of a bucket's classes are compared with all others and leave it, links join components, and buckets
+of one component are done. A round's pairs are at most HUBS for each entry of the index, and no pair within a component is
+ever made. (5) Components of all verified links by alternating stars. Joins by a key that many rows hold are salted.
 
 Verification first bounds the overlap from above: the counts of a set's tokens by the first bits of their hashes are a
 sketch of a byte for about three tokens, and the sum of the lesser counts is at least the overlap. Pairs that pass are
@@ -21,7 +26,7 @@ compared by their whole sets. Sets of classes that no such pair names are not sh
 
 Defined results: null, empty and wordless texts have no shingles and are their own components; repeated rows of an id are
 in one component with the id; a null id counts as the largest and stays null; an empty table gives an empty result; other
-columns are not read, but pass through `keep_one`. Classes are told apart by 64-bit hashes of their sets.
+columns, whatever their names, are not read, but pass through `keep_one`. Classes are told apart by 64-bit hashes of their sets.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches, shingles
+from tidewright.llm.common import free_names, map_batches, shingles, spread
 from tidewright.llm.graph import bloom, components, maybe_in
 from tidewright.session import cut
 from tidewright.sources import table
@@ -44,6 +49,8 @@ NAME = "op6_jaccard_join"
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
 BLOCK_TOKENS = 4_000_000
+BUCKET = HUBS = 64
+SENT_IDS = 1_000_000  # as many ids at most are broadcast; more are joined by a shuffle
 _LAST = (1 << 63) - 1
 
 
@@ -56,6 +63,13 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        k = (x * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (y * np.uint64(0x9E3779B97F4A7C15))
+        k ^= k >> np.uint64(31)
+        return k * np.uint64(0xD6E8FEB86659FD93)
+
+
 def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and the place of their first token in the order: single rare tokens and pairs of frequent ones. frequent: sorted."""
     n = len(s)
@@ -65,18 +79,20 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple
     often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, dtype=bool)
     rare, common = s[~often], s[often]
     p = n - needed(n, num, den) + 1
-    keys, places = rare[:p], np.arange(min(p, len(rare)), dtype=np.int32)
-    c = common[: max(0, p + 1 - len(rare))]
-    if len(c) > 1:
-        out_k, out_p = [keys], [places]
-        with np.errstate(over="ignore"):
-            for i in range(min(len(c) - 1, p - len(rare))):
-                k = (c[i] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[i + 1 :] * np.uint64(0x9E3779B97F4A7C15))
-                k ^= k >> np.uint64(31)
-                out_k.append(k * np.uint64(0xD6E8FEB86659FD93))
-                out_p.append(np.full(len(k), len(rare) + i, dtype=np.int32))
-        keys, places = np.concatenate(out_k), np.concatenate(out_p)
-    return keys, places
+    keys, places = [rare[:p]], [np.arange(min(p, len(rare)), dtype=np.int32)]
+    if 4 * num >= 3 * den:
+        single = len(common) * (den - num) // num - len(rare)  # frequent tokens that one of two linked sets alone holds, at most
+        own = min(single, len(common) - needed(n, num, den))
+        if own >= 0:
+            c = common[: own + single + 2]
+            keys.append(_pair(c[:-1], c[1:]))
+            places.append(np.arange(len(rare), len(rare) + len(c) - 1, dtype=np.int32))
+    else:
+        c = common[: max(0, p + 1 - len(rare))]
+        for i in range(min(len(c) - 1, p - len(rare))):
+            keys.append(_pair(c[i], c[i + 1 :]))
+            places.append(np.full(len(c) - i - 1, len(rare) + i, dtype=np.int32))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -203,9 +219,9 @@ def _checked(num: int, den: int, bound: bool):
 
 
 def _fits(na, nb, pa_, pb, num: int, den: int):
-    """Whether lengths and places of a first common token allow for the overlap that a link needs."""
+    """Whether lengths and the places of a common key allow for the overlap that a link needs: what precedes it, and what follows."""
     alpha = F.ceil((F.lit(num) * (na + nb)) / F.lit(num + den))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (na - pa_ >= alpha) & (nb - pb >= alpha)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= alpha)
 
 
 class Join:
@@ -225,54 +241,90 @@ class Join:
         named = lambda p: p.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
         def checked(p: DataFrame, rows: DataFrame, bound: bool) -> DataFrame:
-            x, y = rows.select(F.col("cls").alias("a"), F.col("v").alias("x"), F.col("n").alias("m")), rows.select(F.col("cls").alias("b"), F.col("v").alias("y"), "n")
-            return cut(map_batches(p.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n"), _checked(self.num, self.den, bound), "a long, b long"))
-
-        stand = cut(self.docs.join(named(pairs), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("v")))
+            """A class that many pairs name, such as a hub, is sent to several tasks, as `spread` does."""
+            told = p
+            for end, v, n in (("a", "x", "m"), ("b", "y", "n")):
+                met = p.groupBy(end).agg(F.count("*").alias("met"))
+                side = cut(met.join(rows.select(F.col("cls").alias(end), F.col("v").alias(v), F.col("n").alias(n)), end)) if end == "b" else met.join(rows.select(F.col("cls").alias(end), F.col("v").alias(v), F.col("n").alias(n)), end)
+                told = (spread(told, side, [end], "met", by=["a"]) if end == "b" else told.join(side, end)).drop("met")
+            return cut(map_batches(told.select("a", "b", "x", "y", "m", "n"), _checked(self.num, self.den, bound), "a long, b long"))
+
+        first = self.docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(named(pairs), "cls")
+        stand = cut(self.docs.join(first, ["cls", "doc_id"]).groupBy("cls", "doc_id").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("v")))
         close = checked(pairs, stand.select("cls", "n", "v"), True)
         names = cut(stand.select("cls", "doc_id").join(named(close), "cls").select(F.xxhash64("cls", "doc_id").alias("name")))
         wanted = bloom(names, "name", names.count())
-        sets = cut(map_batches(self.rows, _sets(self.k, wanted), "cls long, v binary")).withColumn("n", F.expr("cast(octet_length(v) div 8 as int)"))
+        sets = cut(map_batches(self.rows, _sets(self.k, wanted), "cls long, v binary").dropDuplicates(["cls"])).withColumn("n", F.expr("cast(octet_length(v) div 8 as int)"))
         return checked(close, sets, False).distinct()
 
-    def links(self) -> DataFrame:
-        """Verified links (a, b) between classes: enough of them for the components, none within a component already known."""
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Verified links (a, b) between classes, enough of them for the components and none within a component already
+        known; and these components (node, comp)."""
         num, den = self.num, self.den
         made = lambda among: map_batches(self.rows, _index(self.k, self.frequent, num, den, among), "key long, cls long, n int, place int")
         several = cut(made(None).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
         n = several.count()
         if not n:
-            return self.docs.sparkSession.createDataFrame([], "a long, b long")
-        index = cut(made(bloom(several, "key", n)).dropDuplicates(["key", "cls"]))
+            none = self.docs.sparkSession.createDataFrame([], "a long, b long")
+            return none, none.toDF("node", "comp")
+        index = cut(made(bloom(several, "key", n)).groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")))
         # place and n in front: the hub is the class whose key stands foremost, so the one with the fewest tokens of its own
-        hubs = index.groupBy("key").agg(F.min(F.struct("place", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-        index = cut(index.join(hubs, "key"))
+        hubs = cut(index.groupBy("key").agg(F.min(F.struct("place", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1"))
+        index = cut(spread(index, hubs, ["key"], "c"))
         near = index.where(F.col("cls") != F.col("hub.cls")).where(_fits(F.col("n"), F.col("hub.n"), F.col("place"), F.col("hub.place"), num, den))
         stars = near.groupBy("cls", F.col("hub.cls").alias("b")).agg(F.count("*").alias("c")).groupBy("cls").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
-        first = self._verify(cut(stars))
-        comp = cut(components(first)).withColumnRenamed("node", "cls")
-        told = cut(index.select("key", "cls", "n", "place").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-        open_ = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = told.join(open_, "key")
-        a, b = (left.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "place", "comp")]) for s in "ab")
-        more = a.join(b, "key").where("a_cls < b_cls and a_comp <> b_comp").where(_fits(F.col("a_n"), F.col("b_n"), F.col("a_place"), F.col("b_place"), num, den))
-        second = cut(more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
-        return first if second.isEmpty() else first.unionByName(self._verify(second))
+        found = self._verify(cut(stars))
+        comp = cut(components(found))
+        left, small = self._open(index.select("key", "cls", "n", "place"), comp), True
+        while True:
+            if small:
+                now = left.where(F.col("c") <= BUCKET)
+                a, b = (now.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "place", "comp")]) for s in "ab")
+                more = a.join(b, "key").where("a_cls < b_cls")
+                left = left.where(F.col("c") > BUCKET)
+            else:
+                part = F.pmod(F.xxhash64("cls"), F.lit(HUBS)).alias("part")
+                heads = cut(left.groupBy("key", "c", part).agg(F.min(F.struct("cls", "n", "place", "comp")).alias("h")).groupBy("key", "c").agg(F.collect_list("h").alias("heads")))
+                a = spread(left.drop("c"), heads, ["key"], "c").withColumn("h", F.explode("heads")).select("key", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "place", "comp")], *[F.col(f"h.{c}").alias(f"b_{c}") for c in ("cls", "n", "place", "comp")])
+                more = a.where("a_cls <> b_cls")
+                left = left.join(heads.select("key", F.explode("heads.cls").alias("cls")), ["key", "cls"], "left_anti")
+            more = more.where("a_comp <> b_comp").where(_fits(F.col("a_n"), F.col("b_n"), F.col("a_place"), F.col("b_place"), num, den))
+            pairs = cut(more.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct())
+            left, small = cut(left), False
+            if not pairs.isEmpty():
+                found = cut(found.unionByName(self._verify(pairs)))
+                comp = cut(components(found))
+            if left.isEmpty():
+                return found, comp
+            left = self._open(left.select("key", "cls", "n", "place"), comp)
+            if left.isEmpty():
+                return found, comp
+
+    def _open(self, index: DataFrame, comp: DataFrame) -> DataFrame:
+        """(key, cls, n, place, comp, c): the entries of buckets whose classes are in several components; c: the bucket's size."""
+        told = cut(index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+        several = cut(told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c"))
+        return cut(spread(told, several, ["key"], "c"))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for each row."""
-        comp = components(self.links()).withColumnRenamed("node", "cls")
-        told = self.docs.join(cut(comp), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        least = told.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        own = told.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        _, comp = self.links()
+        size = self.docs.where("n > 0").groupBy("cls").agg(F.count("*").alias("held"), F.min("doc_id").alias("least"))
+        told = size.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        told = cut(told)
+        least = cut(told.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+        by_class = cut(spread(told, least, ["comp"], "classes").select("cls", "held", "component_id"))
+        own = spread(self.docs.select("doc_id", "n", "cls"), by_class, ["cls"], "held", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         return own.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_LAST)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns pass through."""
     found = Join(docs, k, num, den).result()
-    gone = found.where("doc_id <> component_id or component_id is not null and doc_id is null").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_gone"), "left_anti")
+    (name,) = free_names(docs, "gone")
+    gone = cut(found.where("doc_id <> component_id or component_id is not null and doc_id is null").select(F.coalesce("doc_id", F.lit(_LAST)).alias(name)).distinct())
+    sent = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return docs.join(sent, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -242,28 +242,32 @@ class Trainer:
             h, last = to, ids[t, :n]
         targets = np.concatenate([ids[t, : len(k[0])] for t, k in enumerate(kept)])
         _, dout = output(p, np.concatenate(states), targets, g)
-        ends = np.cumsum([len(k[0]) for k in kept]).tolist()
+        stops = np.cumsum([len(k[0]) for k in kept]).tolist()
+        h0, z, r, c, rh = (np.concatenate([k[i] for k in kept]) for i in range(1, 6))
+        by_cand, by_z, by_r, by_h = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r), 1 - z
+        both = np.empty((len(h0), 3 * HIDDEN), dtype=np.float32)  # derivatives by the gates and by the candidate
         dh = np.zeros((0, HIDDEN), dtype=np.float32)
-        dgs, dcs = [], []
+        rec, cand = np.ascontiguousarray(p["rec"].T), np.ascontiguousarray(p["cand"].T)
         for k in range(len(kept) - 1, -1, -1):
-            x, h0, z, r, c, rh = kept[k]
-            d = dout[ends[k] - len(x) : ends[k]]
+            at = slice(stops[k] - len(kept[k][0]), stops[k])
+            d, dg, dc = dout[at], both[at, : 2 * HIDDEN], both[at, 2 * HIDDEN :]
             d[: len(dh)] += dh
-            dc = d * z * (1 - c * c)
-            drh = dc @ p["cand"].T
-            dg = np.concatenate((d * (c - h0) * z * (1 - z), drh * h0 * r * (1 - r)), 1)
-            dh = d * (1 - z) + drh * r + dg @ p["rec"].T
-            dh[x == END] = 0
-            dgs.append(dg)
-            dcs.append(dc)
-        dg, dc = np.concatenate(dgs[::-1]), np.concatenate(dcs[::-1])
-        g["cand"] += np.concatenate([k[5] for k in kept]).T @ dc
-        g["rec"] += np.concatenate([k[1] for k in kept]).T @ dg
+            np.multiply(d, by_cand[at], out=dc)
+            drh = dc @ cand
+            np.multiply(d, by_z[at], out=dg[:, :HIDDEN])
+            np.multiply(drh, by_r[at], out=dg[:, HIDDEN:])
+            dh = d * by_h[at]
+            drh *= r[at]
+            dh += drh
+            dh += dg @ rec
+            dh[kept[k][0] == END] = 0
+        g["cand"] += rh.T @ both[:, 2 * HIDDEN :]
+        g["rec"] += h0.T @ both[:, : 2 * HIDDEN]
         read = np.concatenate([k[0] for k in kept])
         order = np.argsort(read.astype(np.uint16), kind="stable")
         found = read[order]
         first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        g["emb"][found[first]] += np.add.reduceat(np.concatenate((dg, dc), 1)[order], first, axis=0)
+        g["emb"][found[first]] += np.add.reduceat(both[order], first, axis=0)
         self._update(full)
         return h, last
 
