@@ -49,20 +49,36 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's k-word shingles; with fewer words the whole sequence is one; without words none."""
-    h = word_hashes(words(text))
-    if not len(h):
-        return h
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k neighbours of h."""
+    n = max(0, len(h) - k + 1)
     with np.errstate(over="ignore"):
-        n = max(1, len(h) - k + 1)
-        s = np.full(n, np.uint64(min(k, len(h))), dtype=np.uint64)
-        for i in range(min(k, len(h))):
+        s = np.full(n, np.uint64(k), dtype=np.uint64)
+        for i in range(k):
             s = s * _MIX + h[i : i + n]
         s ^= s >> np.uint64(29)
         s *= _MIX
         s ^= s >> np.uint64(32)
-    return np.unique(s)
+    return s
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's k-word shingles; with fewer words the whole sequence is one; without words none."""
+    h = word_hashes(words(text))
+    return np.unique(_rolled(h, min(k, len(h)))) if len(h) else h
+
+
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The shingles of each text of a column. Words that repeat in it are hashed once."""
+    found, sizes = split_words(column)
+    codes = found.dictionary_encode()
+    own = word_hashes(codes.dictionary.cast(pa.binary()).to_pylist())
+    h = own[codes.indices.to_numpy()] if len(own) else own
+    whole, out, at = _rolled(h, k), [], 0
+    for n in sizes.tolist():
+        out.append(np.unique(whole[at : at + n - k + 1]) if n >= k else _rolled(h[at : at + n], n) if n else h[:0])
+        at += n
+    return out
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

@@ -16,9 +16,8 @@ Bloom filter before the rest is shuffled. (3) Each class is verified against one
 whose key stands foremost) the one it meets most often. Near copies of a text so fall into one component with as many
 verifications as copies. (4) What stays are buckets with several components. In those of at most BUCKET classes, pairs of
 classes in different components that pass the length and position filters are verified. Larger ones are taken up in
-rounds: at most HUBS of a bucket's classes are compared with all others and leave it, links join components, and buckets
-of one component are done. A round's pairs are at most HUBS for each entry of the index, and no pair within a component is
-ever made. (5) Components of all verified links by alternating stars. Joins by a key that many rows hold are salted.
+rounds: at most HUBS of a bucket's classes are paired with all others and leave it. A round's pairs are at most HUBS for
+each entry of the index, and no pair within a component of the first links is ever made. (5) Components of all verified links by alternating stars. Joins by a key that many rows hold are salted.
 
 Verification first bounds the overlap from above: the counts of a set's tokens by the first bits of their hashes are a
 sketch of a byte for about three tokens, and the sum of the lesser counts is at least the overlap. Pairs that pass are
@@ -31,6 +30,7 @@ columns, whatever their names, are not read, but pass through `keep_one`. Classe
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import free_names, map_batches, shingles, spread
+from tidewright.llm.common import free_names, map_batches, shingle_sets, spread
 from tidewright.llm.graph import bloom, components, maybe_in
 from tidewright.session import cut
 from tidewright.sources import table
@@ -49,7 +49,7 @@ NAME = "op6_jaccard_join"
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
 BLOCK_TOKENS = 4_000_000
-BUCKET = HUBS = 64
+BUCKET = HUBS = 256
 SENT_IDS = 1_000_000  # as many ids at most are broadcast; more are joined by a shuffle
 _LAST = (1 << 63) - 1
 
@@ -127,8 +127,7 @@ def _scan(k: int):
         size, seen = 0, set()
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, k)
+            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
                 c = class_of(s)
                 rows.append((0, d, len(s), c, sketch(s)))
                 if len(s) and c not in seen:  # copies in a block count once
@@ -151,8 +150,7 @@ def _index(k: int, frequent: np.ndarray, num: int, den: int, among: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, done = [], set()
-            for t in b.column(1).to_pylist():
-                s = shingles(t, k)
+            for s in shingle_sets(b.column(1), k):
                 c = class_of(s)
                 if c in done:
                     continue
@@ -191,8 +189,7 @@ def _sets(k: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, k)
+            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
                 if len(s) and maybe_in(wanted, np.array([_named(c := class_of(s), d)], dtype=np.uint64))[0]:
                     out.append((c, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["cls", "set"])
@@ -236,26 +233,29 @@ class Join:
         often = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).select("a").toArrow()["a"].to_numpy()
         self.frequent = np.sort(often.view(np.uint64))
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link."""
-        named = lambda p: p.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-
-        def checked(p: DataFrame, rows: DataFrame, bound: bool) -> DataFrame:
-            """A class that many pairs name, such as a hub, is sent to several tasks, as `spread` does."""
-            told = p
-            for end, v, n in (("a", "x", "m"), ("b", "y", "n")):
-                met = p.groupBy(end).agg(F.count("*").alias("met"))
-                side = cut(met.join(rows.select(F.col("cls").alias(end), F.col("v").alias(v), F.col("n").alias(n)), end)) if end == "b" else met.join(rows.select(F.col("cls").alias(end), F.col("v").alias(v), F.col("n").alias(n)), end)
-                told = (spread(told, side, [end], "met", by=["a"]) if end == "b" else told.join(side, end)).drop("met")
-            return cut(map_batches(told.select("a", "b", "x", "y", "m", "n"), _checked(self.num, self.den, bound), "a long, b long"))
-
-        first = self.docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(named(pairs), "cls")
-        stand = cut(self.docs.join(first, ["cls", "doc_id"]).groupBy("cls", "doc_id").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("v")))
-        close = checked(pairs, stand.select("cls", "n", "v"), True)
-        names = cut(stand.select("cls", "doc_id").join(named(close), "cls").select(F.xxhash64("cls", "doc_id").alias("name")))
+    def _checked(self, pairs: DataFrame, rows: DataFrame, bound: bool) -> DataFrame:
+        """The pairs that pass, by rows(cls, n, v: sketch or set). A class that many pairs name, such as a hub, is sent to several tasks."""
+        side = lambda *to: rows.select(*[F.col(c).alias(n) for c, n in zip(("cls", "v", "n"), to, strict=True)])
+        hubs = cut(pairs.groupBy("b").agg(F.count("*").alias("met")).join(side("b", "y", "n"), "b"))
+        told = spread(pairs.join(side("a", "x", "m"), "a"), hubs, ["b"], "met", by=["a"])
+        return cut(map_batches(told.select("a", "b", "x", "y", "m", "n"), _checked(self.num, self.den, bound), "a long, b long"))
+
+    def _stand(self, pairs: DataFrame) -> DataFrame:
+        """(cls, doc_id, n, v: sketch) of the classes that pairs name, by the first document of each."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        first = self.docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(named, "cls")
+        return self.docs.join(first, ["cls", "doc_id"]).groupBy("cls", "doc_id").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("v"))
+
+    def _close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that may link, by their sketches."""
+        return self._checked(pairs, cut(self._stand(pairs)).drop("doc_id"), True)
+
+    def _linked(self, close: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets: one pass over the documents."""
+        names = cut(self._stand(close).select(F.xxhash64("cls", "doc_id").alias("name")))
         wanted = bloom(names, "name", names.count())
         sets = cut(map_batches(self.rows, _sets(self.k, wanted), "cls long, v binary").dropDuplicates(["cls"])).withColumn("n", F.expr("cast(octet_length(v) div 8 as int)"))
-        return checked(close, sets, False).distinct()
+        return self._checked(close, sets, False)
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links (a, b) between classes, enough of them for the components and none within a component already
@@ -273,38 +273,36 @@ class Join:
         index = cut(spread(index, hubs, ["key"], "c"))
         near = index.where(F.col("cls") != F.col("hub.cls")).where(_fits(F.col("n"), F.col("hub.n"), F.col("place"), F.col("hub.place"), num, den))
         stars = near.groupBy("cls", F.col("hub.cls").alias("b")).agg(F.count("*").alias("c")).groupBy("cls").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
-        found = self._verify(cut(stars))
+        found = self._linked(self._close(cut(stars)))
         comp = cut(components(found))
-        left, small = self._open(index.select("key", "cls", "n", "place"), comp), True
-        while True:
-            if small:
-                now = left.where(F.col("c") <= BUCKET)
-                a, b = (now.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "place", "comp")]) for s in "ab")
-                more = a.join(b, "key").where("a_cls < b_cls")
-                left = left.where(F.col("c") > BUCKET)
-            else:
+        told = index.select("key", "cls", "n", "place").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        left, close, names = self._open(cut(told)), [], ("cls", "n", "place", "comp")
+        while not left.isEmpty():
+            small = left.where(F.col("c") <= BUCKET)
+            a, b = (small.select("key", *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in "ab")
+            more = a.join(b, "key").where("a_cls < b_cls").drop("key")
+            large = cut(left.where(F.col("c") > BUCKET))
+            if not large.isEmpty():
                 part = F.pmod(F.xxhash64("cls"), F.lit(HUBS)).alias("part")
-                heads = cut(left.groupBy("key", "c", part).agg(F.min(F.struct("cls", "n", "place", "comp")).alias("h")).groupBy("key", "c").agg(F.collect_list("h").alias("heads")))
-                a = spread(left.drop("c"), heads, ["key"], "c").withColumn("h", F.explode("heads")).select("key", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "place", "comp")], *[F.col(f"h.{c}").alias(f"b_{c}") for c in ("cls", "n", "place", "comp")])
-                more = a.where("a_cls <> b_cls")
-                left = left.join(heads.select("key", F.explode("heads.cls").alias("cls")), ["key", "cls"], "left_anti")
+                heads = large.groupBy("key", "c", part).agg(F.min(F.struct(*names)).alias("h")).groupBy("key", "c").agg(F.collect_list("h").alias("heads"))
+                heads = cut(heads)
+                each = spread(large.drop("c"), heads, ["key"], "c", by=["cls"]).withColumn("h", F.explode("heads"))
+                more = more.unionByName(each.select(*[F.col(c).alias(f"a_{c}") for c in names], *[F.col(f"h.{c}").alias(f"b_{c}") for c in names]).where("a_cls <> b_cls"))
+                large = large.join(heads.select("key", F.explode("heads.cls").alias("cls")), ["key", "cls"], "left_anti")
             more = more.where("a_comp <> b_comp").where(_fits(F.col("a_n"), F.col("b_n"), F.col("a_place"), F.col("b_place"), num, den))
             pairs = cut(more.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct())
-            left, small = cut(left), False
             if not pairs.isEmpty():
-                found = cut(found.unionByName(self._verify(pairs)))
-                comp = cut(components(found))
-            if left.isEmpty():
-                return found, comp
-            left = self._open(left.select("key", "cls", "n", "place"), comp)
-            if left.isEmpty():
-                return found, comp
-
-    def _open(self, index: DataFrame, comp: DataFrame) -> DataFrame:
-        """(key, cls, n, place, comp, c): the entries of buckets whose classes are in several components; c: the bucket's size."""
-        told = cut(index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-        several = cut(told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c"))
-        return cut(spread(told, several, ["key"], "c"))
+                close.append(self._close(pairs))
+            left = self._open(cut(large.drop("c")))
+        if close and not (close := cut(functools.reduce(DataFrame.unionByName, close).distinct())).isEmpty():
+            found = found.unionByName(self._linked(close))
+            comp = cut(components(found))
+        return found, comp
+
+    def _open(self, told: DataFrame) -> DataFrame:
+        """told(key, cls, n, place, comp) with c, the bucket's size: of the buckets whose classes are in several components."""
+        several = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
+        return cut(spread(told, cut(several), ["key"], "c", by=["cls"]))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for each row."""
