@@ -196,3 +196,14 @@ same_sql("between_symmetric", "orders", "SELECT o_orderkey FROM orders WHERE o_o
 same_sql("unnest_rows", "nation", "SELECT n_nationkey, part, MAP['a', n_regionkey, 'b', -1]['a'] AS region, ARRAY[n_name, 'x'][1] AS first_part, ARRAY[n_name][2] AS no_part FROM nation CROSS JOIN UNNEST(split(n_name, ' ')) AS t (part)", "SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS part, n_regionkey AS region, n_name AS first_part, NULL::VARCHAR AS no_part FROM nation")
 same_sql("json_functions", "nation", "SELECT n_nationkey, j, JSON_EXISTS(j, '$.k') AS has, JSON_EXISTS(j, '$.none') AS lacks, JSON_VALUE(j, '$.name') AS name, j IS JSON AS is_json, n_name IS NOT JSON AS no_json FROM (SELECT n_nationkey, n_name, JSON_OBJECT(KEY 'k' VALUE n_regionkey, 'name' VALUE n_name, 'z' VALUE CAST(NULL AS INT)) AS j FROM nation) t", "SELECT n_nationkey, '{\"k\":' || n_regionkey || ',\"name\":\"' || n_name || '\",\"z\":null}' AS j, true AS has, false AS lacks, n_name AS name, true AS is_json, true AS no_json FROM nation")
 same_sql("hash_functions", "nation", "SELECT n_nationkey, SHA256(n_name) AS s, sha1(n_name) AS o, length(SHA224(n_name)) AS n, length(SHA512(n_name)) AS m FROM nation", "SELECT n_nationkey, sha256(n_name) AS s, sha1(n_name) AS o, 56 AS n, 128 AS m FROM nation")
+same_sql("similar_to", "nation", "SELECT n_nationkey, n_name SIMILAR TO 'A%' AS a, n_name SIMILAR TO '_(R|H)%' AS b, n_name SIMILAR TO 'R' AS c, 'a.c' SIMILAR TO 'a.c' AS d, 'abc' SIMILAR TO 'a.c' AS e, n_name NOT SIMILAR TO '[A-C]%' AS f FROM nation", "SELECT n_nationkey, regexp_full_match(n_name, 'A.*') AS a, regexp_full_match(n_name, '.(R|H).*') AS b, false AS c, true AS d, false AS e, NOT regexp_full_match(n_name, '[A-C].*') AS f FROM nation")
+same_sql("truncate_numbers", "orders", "SELECT o_orderkey, TRUNCATE(o_orderkey) AS k, CAST(TRUNCATE(CAST(o_totalprice AS DECIMAL(18, 2)), 1) AS DOUBLE) AS p, CAST(TRUNCATE(-CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS m, TRUNCATE(9007199254740993, 0) AS big, TRUNCATE(o_orderkey, -2) AS h, RAND_INTEGER(10) BETWEEN 0 AND 9 AS r, RAND_INTEGER(7, 5) BETWEEN 0 AND 4 AS s FROM orders", "SELECT o_orderkey, o_orderkey AS k, (trunc(CAST(o_totalprice AS DECIMAL(18, 2)) * 10) / 10)::DOUBLE AS p, -trunc(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE AS m, 9007199254740993 AS big, o_orderkey // 100 * 100 AS h, true AS r, true AS s FROM orders")
+same_sql("time_dialect", "events", "SELECT event_id, date_format(TO_TIMESTAMP_LTZ(event_id, 0), 'yyyy-MM-dd HH:mm:ss') AS a, date_format(TO_TIMESTAMP_LTZ(event_id, 3), 'yyyy-MM-dd HH:mm:ss.SSS') AS b, date_format(CAST(TIMESTAMP '2024-01-01 00:00:00.123956' AS TIMESTAMP(3)), 'HH:mm:ss.SSSSSS') AS c, date_format(CAST(TIMESTAMP '2024-01-01 00:00:01.9' AS TIMESTAMP(0)), 'HH:mm:ss.SSS') AS d, LOCALTIMESTAMP IS NOT NULL AND LOCALTIME IS NOT NULL AND now() IS NOT NULL AS e, TIMESTAMPDIFF(HOUR, TIMESTAMP '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP)) AS f, dayofyear(ts) AS g, CAST(dayofweek(ts) AS INT) AS h, date_format(CEIL(TIMESTAMP '2024-01-01 10:20:00' TO HOUR), 'HH:mm') AS i, CONVERT_TZ('2024-01-01 00:00:00', 'UTC', 'America/Los_Angeles') AS j, (TIMESTAMP '2024-01-01 09:00:00', TIMESTAMP '2024-01-01 10:00:00') OVERLAPS (TIMESTAMP '2024-01-01 10:15:00', INTERVAL '3' HOUR) AS k, (TIMESTAMP '2024-01-01 02:55:00', INTERVAL '1' HOUR) OVERLAPS (TIMESTAMP '2024-01-01 03:30:00', INTERVAL '2' HOUR) AS l FROM events", "SELECT event_id, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(event_id * 1000), '%Y-%m-%d %H:%M:%S.%g') AS b, '00:00:00.123000' AS c, '00:00:01.000' AS d, true AS e, epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00') // 3600000000 AS f, dayofyear(ts)::INT AS g, dayofweek(ts)::INT + 1 AS h, '11:00' AS i, '2023-12-31 16:00:00' AS j, false AS k, true AS l FROM events")
+same_sql("json_dialect", "nation", """SELECT n_nationkey, JSON_STRING(n_name) AS s, JSON_ARRAY(n_regionkey, n_name, CAST(NULL AS STRING)) AS a, JSON_ARRAY(n_regionkey, CAST(NULL AS STRING) NULL ON NULL) AS n, JSON_VALUE('{"a": {"b": 1}, "c": 7}', '$.a') AS o, JSON_VALUE('{"a": {"b": 1}, "c": 7}', '$.c' RETURNING INT) AS c, JSON_VALUE('no json', '$.c') AS x FROM nation""", """SELECT n_nationkey, '"' || n_name || '"' AS s, '[' || n_regionkey || ',"' || n_name || '"]' AS a, '[' || n_regionkey || ',null]' AS n, NULL::VARCHAR AS o, 7 AS c, NULL::VARCHAR AS x FROM nation""")
+same_sql("json_aggregates", "region", "SELECT r_regionkey, JSON_OBJECTAGG(KEY r_name VALUE r_regionkey) AS o, JSON_ARRAYAGG(r_name) AS a FROM region GROUP BY r_regionkey", """SELECT r_regionkey, '{"' || r_name || '":' || r_regionkey || '}' AS o, '["' || r_name || '"]' AS a FROM region""")
+same_sql("string_dialect", "nation", "SELECT n_nationkey, IS_DECIMAL('NaN') AS a, IS_DECIMAL('-1.5e3') AS b, IS_DIGIT('12') AND NOT IS_DIGIT('1a') AND IS_ALPHA('ab') AS c, SPLIT_INDEX('a.b.c', '.', 1) AS d, STR_TO_MAP('a=1,b=2')['b'] AS e, STR_TO_MAP('a:1;b:2', ';', ':')['a'] AS f, FROM_BASE64(TO_BASE64(n_name)) AS g, initcap(n_name) AS h, overlay(n_name PLACING '--' FROM 2 FOR 2) AS i, chr(65) AS j, instr(n_name, 'A') AS k, right(n_name, 2) AS l, concat_ws('-', n_name, 'x') AS m, regexp_replace(n_name, '[AEIOU]', '.') AS n, regexp_extract(n_name, '([AEIOU])', 1) AS o, repeat('ab', 2) AS p, trim(BOTH 'A' FROM n_name) AS q, locate('N', n_name) AS r FROM nation", "SELECT n_nationkey, false AS a, true AS b, true AS c, 'b' AS d, '2' AS e, '1' AS f, n_name AS g, list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS h, n_name[1:1] || '--' || n_name[4:] AS i, 'A' AS j, instr(n_name, 'A')::INT AS k, right(n_name, 2) AS l, n_name || '-x' AS m, regexp_replace(n_name, '[AEIOU]', '.', 'g') AS n, regexp_extract(n_name, '([AEIOU])', 1) AS o, 'abab' AS p, trim(n_name, 'A') AS q, instr(n_name, 'N')::INT AS r FROM nation")
+same_sql("math_dialect", "nation", "SELECT n_nationkey, round(sin(n_nationkey), 9) AS a, round(cos(n_nationkey), 9) AS b, round(atan2(n_nationkey, 2), 9) AS c, round(ln(n_nationkey + 1), 9) AS d, round(log10(n_nationkey + 1), 9) AS e, round(log2(n_nationkey + 1), 9) AS f, round(exp(n_nationkey / 10.0), 6) AS g, round(power(n_nationkey, 2), 3) AS h, round(degrees(pi()), 6) AS i, round(radians(180), 9) AS j, round(cot(n_nationkey + 1), 6) AS k, round(sinh(n_nationkey / 10.0), 6) AS l, mod(n_nationkey, 4) AS m, bin(n_nationkey) AS n, hex(n_nationkey) AS o, round(e(), 9) AS p FROM nation", "SELECT n_nationkey, round(sin(n_nationkey), 9) AS a, round(cos(n_nationkey), 9) AS b, round(atan2(n_nationkey, 2), 9) AS c, round(ln(n_nationkey + 1), 9) AS d, round(log10(n_nationkey + 1), 9) AS e, round(log2(n_nationkey + 1), 9) AS f, round(exp(n_nationkey / 10.0), 6) AS g, round(power(n_nationkey, 2), 3) AS h, 180.0::DOUBLE AS i, round(pi(), 9) AS j, round(cot(n_nationkey + 1), 6) AS k, round(sinh(n_nationkey / 10.0), 6) AS l, n_nationkey % 4 AS m, bin(n_nationkey) AS n, upper(to_hex(n_nationkey)) AS o, round(exp(1.0::DOUBLE), 9) AS p FROM nation")
+same_sql("logic_dialect", "orders", "SELECT o_orderkey, (o_orderkey > 100) IS TRUE AS a, (nullif(o_orderkey, 3) > 5) IS UNKNOWN AS b, (nullif(o_orderkey, 3) > 5) IS NOT FALSE AS c, if(o_orderkey > 5, 'x', 'y') AS d, ifnull(nullif(o_orderkey, 3), 0) AS e, nullif(o_orderkey, 3) IS NOT DISTINCT FROM NULL AS f FROM orders", "SELECT o_orderkey, o_orderkey > 100 AS a, o_orderkey = 3 AS b, o_orderkey = 3 OR o_orderkey > 5 AS c, CASE WHEN o_orderkey > 5 THEN 'x' ELSE 'y' END AS d, CASE WHEN o_orderkey = 3 THEN 0 ELSE o_orderkey END AS e, o_orderkey = 3 AS f FROM orders")
+same_sql("window_rowtimes", "events", "SELECT date_format(TUMBLE_ROWTIME(ts, INTERVAL '1' DAY), 'yyyy-MM-dd HH:mm:ss.SSS') AS t, count(*) AS n FROM events GROUP BY TUMBLE(ts, INTERVAL '1' DAY)", "SELECT strftime(date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND, '%Y-%m-%d %H:%M:%S.%g') AS t, count(*) AS n FROM events GROUP BY 1")
+same_sql("hop_rowtimes", "events", "SELECT date_format(HOP_ROWTIME(ts, INTERVAL '1' DAY, INTERVAL '2' DAY), 'yyyy-MM-dd HH:mm:ss.SSS') AS t, count(*) AS n FROM events GROUP BY HOP(ts, INTERVAL '1' DAY, INTERVAL '2' DAY)", "SELECT strftime(date_trunc('day', ts) + INTERVAL 1 DAY * (1 + k) - INTERVAL 1 MILLISECOND, '%Y-%m-%d %H:%M:%S.%g') AS t, count(*) AS n FROM events, range(2) r(k) GROUP BY 1")
+same_sql("session_rowtimes", "events", "SELECT user_id, date_format(SESSION_ROWTIME(ts, INTERVAL '12' HOUR), 'yyyy-MM-dd HH:mm:ss.SSS') AS t, count(*) AS n FROM events GROUP BY SESSION(ts, INTERVAL '12' HOUR), user_id", "WITH f AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT user_id, strftime(max(ts) + INTERVAL 12 HOUR - INTERVAL 1 MILLISECOND, '%Y-%m-%d %H:%M:%S.%g') AS t, count(*) AS n FROM s GROUP BY user_id, k")
