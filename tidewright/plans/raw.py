@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import traceback
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.dialect import translate
-from tidewright.model import ENGINES, Failure, InvalidQueryError, RawQueryRequest, Success
+from tidewright.dialect import shape, translate
+from tidewright.model import ENGINES, Failure, InvalidQueryError, RawQueryRequest, Success, Vocab
+from tidewright.operators import asof_join
 from tidewright.session import cut
 from tidewright.sinks import write_file
-from tidewright.sources.slices import utc
+from tidewright.sources.slices import nanosecond_columns, utc
+
+
+def _query(spark: SparkSession, text: str, temporal: dict[str, list[str]]) -> DataFrame:
+    """A step, which may join a temporal table: a view with a primary key and the default vocabulary's event time."""
+    if not re.search(r"\bLATERAL\s+TABLE\b|\bFOR\s+SYSTEM_TIME\b", text, re.I):
+        return spark.sql(translate(text))
+    s, v = shape(text, temporal), Vocab()
+    versions = spark.table(f"`{s.right}`")
+    tie = v.offset if v.offset in versions.columns else None
+    asof_join(spark.table(f"`{s.source}`"), versions, s.keys, s.time, v.event_time, s.right_alias, tie, s.outer).createOrReplaceTempView("__asof")
+    return spark.sql(translate(s.sql))
 
 
 def execute_raw_query(spark: SparkSession, request: RawQueryRequest) -> Success | Failure:
@@ -20,10 +33,10 @@ def execute_raw_query(spark: SparkSession, request: RawQueryRequest) -> Success
         if request.transform.engine not in ENGINES:
             raise RuntimeError(f"Unsupported engine: {request.transform.engine}")
         schema = spark.read.parquet(request.paths[0]).schema
-        utc(spark.read.schema(schema).parquet(*request.paths)).createOrReplaceTempView("input")
+        utc(spark.read.schema(schema).parquet(*request.paths), nanosecond_columns(spark, request.paths[0])).createOrReplaceTempView("input")
         out = None
         for step in request.transform.steps:
-            out = spark.sql(translate(step.query))
+            out = _query(spark, step.query, request.transform.temporal)
             out.createOrReplaceTempView(f"`{step.alias or '__output__'}`")
         out = cut(out)
         n = out.count()

@@ -6,6 +6,7 @@ in the checkpoint folder. What it emits is the next step's slice, with the water
 
 from __future__ import annotations
 
+import logging
 import re
 import traceback
 from dataclasses import dataclass
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright import dialect
-from tidewright.model import APPEND, CORRECT_FROM, CORRECT_TO, ENGINES, Failure, InvalidQueryError, Success, TransformRequest
+from tidewright.model import APPEND, CORRECT_FROM, CORRECT_TO, ENGINES, RETRACT, Failure, InvalidQueryError, Success, TransformRequest
 from tidewright.operators import asof_join, top_changes, with_offsets
 from tidewright.session import cut
 from tidewright.sinks import load_json, save_json, write_file
 from tidewright.sources.slices import read_slice
 
+LOG = logging.getLogger("tidewright")
 _EVER = datetime(1, 1, 1)
 _MS = timedelta(milliseconds=1)
 _SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
@@ -93,6 +95,19 @@ class Run:
             rows = read_slice(self.spark, i).withColumn("__seq", F.col(i.vocab.offset).cast("long"))
             before = self._mark(f"input/{i.alias}", max([_EVER, *i.watermarks]))
             self.relations[i.alias] = Relation(rows, before, max([before, *i.watermarks]))
+            self._count(f"input/{i.alias}", rows.count())
+            self._tap(i.alias, self.relations[i.alias])
+
+    def _count(self, name: str, n: int) -> None:
+        """Rows that have passed here in all runs, kept with the state."""
+        self.now[f"rows/{name}"] = str(int(self.marks.get(f"rows/{name}", 0)) + n)
+
+    def _tap(self, name: str, r: Relation) -> None:
+        """Where debugging is on, logs each row of a relation, and its watermark."""
+        if LOG.isEnabledFor(logging.DEBUG):
+            for row in r.rows.toLocalIterator():
+                LOG.debug("%s %s", name, row)
+            LOG.debug("%s watermark %s", name, r.after)
 
     def _sql(self, text: str, **views: DataFrame) -> DataFrame:
         for name, df in {**{k: r.rows for k, r in self.relations.items()}, **views}.items():
@@ -109,18 +124,80 @@ class Run:
         return self.relations[name]
 
     def step(self, k: int, text: str) -> Relation:
-        s = dialect.shape(text, self.request.transform.temporal)
         if dialect.CURRENT_WATERMARK.search(text):  # rows of a slice see the watermark that preceded them
-            before = self._of(s.source).before
+            before = min((self._of(x).before for x in dialect.names(text, list(self.relations))), default=_EVER)
             told = "CAST(NULL AS TIMESTAMP)" if before == _EVER else f"TIMESTAMP '{before}'"
-            s = dialect.shape(dialect.CURRENT_WATERMARK.sub(told, "".join(dialect.tokens(text))), self.request.transform.temporal)
+            text = dialect.CURRENT_WATERMARK.sub(told, "".join(dialect.tokens(text)))
+        try:
+            s = dialect.shape(text, self.request.transform.temporal)
+        except dialect.NoRuleError:
+            s = dialect.Shape("bounded", sql=text)
+        if s.kind in ("stateless", "union") and any(len(dialect.names(x, list(self.relations))) > 1 for x in dialect.branches(text)):
+            s = dialect.Shape("bounded", sql=text)
+        if s.kind == "group" and "__op" in self._of(s.source).rows.columns:  # a row may take back what another gave
+            s = dialect.Shape("bounded", sql=text)
+        if s.kind in ("interval", "temporal", "top") and any("__op" in self._of(x).rows.columns for x in (s.source, s.right) if x):
+            raise InvalidQueryError("Interval joins, temporal joins and ranked tops take rows that are only added, not a changelog")
         return getattr(self, f"_{s.kind}")(f"step{k}", s)
 
     def _stateless(self, name: str, s: dialect.Shape) -> Relation:
+        """Each row by itself; a change stays the change that it is."""
         src = self._of(s.source)
+        hidden = [c for c in ("__seq", "__op", "__step") if c in src.rows.columns]
         star = re.match(r"\s*SELECT\s+\*", s.sql, re.I)
-        rows = self._sql(s.sql) if star or "__seq" not in src.rows.columns else self._with_seq(s.sql, "__seq")
-        return Relation(rows, src.before, src.after)
+        if star or not hidden:
+            return Relation(self._sql(s.sql), src.before, src.after)
+        text = s.sql
+        for m in list(re.finditer(r"\bFROM\s*\(\s*SELECT\b", text, re.I))[::-1]:  # through derived tables too
+            if not re.match(r"\s*\*", text[m.end() :]):
+                text = f"{text[: m.end()]} {', '.join(hidden)},{text[m.end() :]}"
+        return Relation(self._with_seq(text, ", ".join(hidden)), src.before, src.after)
+
+    def _union(self, name: str, s: dialect.Shape) -> Relation:
+        """UNION ALL of parts that each row decides by itself: their rows in one order of arrival, by place, then part."""
+        parts = [self._stateless(name, dialect.shape(x, {})) for x in dialect.branches(s.sql)]
+        out, shown = None, [c for c in parts[0].rows.columns if not c.startswith("__")]
+        for k, p in enumerate(parts):
+            mine = [c for c in p.rows.columns if not c.startswith("__")]
+            if len(mine) != len(shown):
+                raise InvalidQueryError("The parts of UNION ALL have different numbers of columns")
+            step = F.lit(k).cast("long") * 1_000_000 + (F.col("__step") if "__step" in p.rows.columns else F.lit(0))
+            hidden = [F.col("__seq") if "__seq" in p.rows.columns else F.lit(None).cast("long").alias("__seq"), (F.col("__op").cast("int") if "__op" in p.rows.columns else F.lit(APPEND)).alias("__op"), step.alias("__step")]
+            now = p.rows.select(*hidden, *[F.col(f"`{c}`").alias(n) for c, n in zip(mine, shown, strict=True)])
+            out = now if out is None else out.union(now)
+        if not any("__op" in p.rows.columns for p in parts):
+            out = out.drop("__op")
+        return Relation(out, min(p.before for p in parts), min(p.after for p in parts))
+
+    def _rows(self, kept: DataFrame | None, src: Relation) -> DataFrame:
+        """The rows that stand after a slice: those kept and added, without those taken back."""
+        rows = src.rows if kept is None else src.rows.unionByName(kept, allowMissingColumns=True)
+        if "__op" not in src.rows.columns:
+            return rows
+        names = [f"`{c}`" for c in rows.columns if not c.startswith("__")]
+        sign = F.when(F.coalesce("__op", F.lit(APPEND)).isin(RETRACT, CORRECT_FROM), -1).otherwise(1)
+        net = rows.groupBy(*names).agg(F.sum(sign).alias("__n"), F.max("__seq").alias("__seq")) if "__seq" in rows.columns else rows.groupBy(*names).agg(F.sum(sign).alias("__n"))
+        return net.where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+
+    def _bounded(self, name: str, s: dialect.Shape) -> Relation:
+        """Any query, as the bounded one over all rows so far: its result after the slice less its result before, as rows
+        added and rows taken back. The state is the inputs' whole history and the last result, which is what a runtime keeps
+        for such a query too; the work of a slice grows with them."""
+        used = dialect.names(s.sql, list(self.relations))
+        if not used:
+            return Relation(self._sql(s.sql), _EVER, _EVER)
+        views = {}
+        for k, r in enumerate(used):
+            src, state = self._of(r), f"{name}h{k}"
+            rows = cut(self._rows(self._state(state), src))
+            self._save(rows, state)
+            views[r] = rows.drop(*[c for c in rows.columns if c.startswith("__")])
+        now = cut(self._sql(s.sql, **views))
+        was = self._state(f"{name}out", now)
+        self._save(now, f"{name}out")
+        change = lambda rows, op: rows.withColumns({"__op": F.lit(op), "__step": F.lit(int(op == APPEND))})
+        out = change(was.exceptAll(now), RETRACT).unionByName(change(now.exceptAll(was), APPEND))
+        return Relation(cut(out), min(self._of(r).before for r in used), min(self._of(r).after for r in used))
 
     def _window(self, name: str, s: dialect.Shape) -> Relation:
         """Tumbling and hopping windows. A row is kept until the last of its windows closes; a window that was closed before
@@ -129,7 +206,7 @@ class Run:
         hop = s.keys[0][0] if s.keys else s.size
         last = F.window(F.col(s.time), hop).start + F.expr(f"interval '{s.size.split()[0]}' {s.size.split()[1]}") - F.expr("interval 1 millisecond")
         seen = src.rows.withColumn("__end", last).where(F.col("__end") > F.lit(src.before)).drop("__end")
-        rows = cut(self._state(name, src.rows).unionByName(seen).withColumn("__end", last))
+        rows = cut(self._rows(self._state(name), Relation(seen, src.before, src.after)).withColumn("__end", last))
         self._save(rows.where(F.col("__end") > F.lit(src.after)).drop("__end"), name)
         if not s.keys:
             out = self._sql(s.sql, **{s.source: rows.where(F.col("__end") <= F.lit(src.after)).drop("__end", "__seq")})
@@ -142,7 +219,7 @@ class Run:
         """Sessions close as a whole. A late row that still touches an open session of its key joins it; the rows of a slice
         are taken as a set, so their order decides nothing."""
         src = self._of(s.source)
-        rows = self._state(name, src.rows).unionByName(src.rows).where(F.col(s.time).isNotNull())
+        rows = self._rows(self._state(name), src).where(F.col(s.time).isNotNull())
         key, gap = [F.expr(dialect.translate(k)) for k in s.partition], F.expr(_interval(s.size))
         by_time = Window.partitionBy(*key).orderBy(s.time)
         rows = rows.withColumn("__first", F.coalesce(F.col(s.time) > F.lag(s.time).over(by_time) + gap, F.lit(True)).cast("long"))
@@ -207,8 +284,6 @@ class Run:
         """Running aggregates as a changelog: each row appends or corrects its key's result, unless that stays as it was.
         The state is one row of partial values a key, put before the slice's rows; inputs are taken as appends."""
         src = self._of(s.source)
-        if "__op" in src.rows.columns:
-            raise InvalidQueryError("No rule for aggregates of a changelog")
         if "__seq" not in src.rows.columns:
             src.rows = cut(src.rows.orderBy(*[c for c, t in src.rows.dtypes if not t.startswith("map")])).withColumn("__seq", F.monotonically_increasing_id())
         names = [f"`{k}`" for k in s.partition]
@@ -268,6 +343,7 @@ def _execute(spark: SparkSession, request: TransformRequest) -> Success:
     for k, s in enumerate(request.transform.steps):
         out = run.step(k, s.query)
         run.relations[s.alias or "__output__"] = out
+        run._tap(s.alias or "__output__", out)
     v, rows = request.vocab, out.rows
     seen = [c for c in rows.columns if not c.startswith("__")]
     for c in (v.offset, v.system_time):
@@ -276,12 +352,15 @@ def _execute(spark: SparkSession, request: TransformRequest) -> Success:
     if v.event_time not in seen:
         raise ValueError(f"Event time column {v.event_time} was not found among: {', '.join(seen)}")
     op = F.col(v.op).cast("int") if v.op in seen else F.col("__op").cast("int") if "__op" in rows.columns else F.lit(0)
-    order = [c for c in ("__seq", "__step") if c in rows.columns] or [v.event_time, *[f.name for f in rows.schema.fields if f.name in seen and f.name != v.event_time and f.dataType.typeName() not in ("map", "variant")]]
+    order = [c for c in ("__seq", "__step") if c in rows.columns]
+    if "__seq" not in order:
+        order += [v.event_time, *[f.name for f in rows.schema.fields if f.name in seen and f.name != v.event_time and f.dataType.typeName() not in ("map", "variant")]]
     numbered, n = with_offsets(rows, [F.col(f"`{c}`") for c in order], request.next_offset, "__offset")
     named = numbered.select(
         F.coalesce(F.col("__offset"), F.lit(0).cast("long")).alias(v.offset), F.coalesce(op, F.lit(0)).alias(v.op), F.lit(request.system_time).cast("timestamp").alias(v.system_time), *[F.col(f"`{c}`") for c in seen if c != v.op]
     )
     if n:
         write_file(named, request.data_path)
+    run._count("output", n)
     save_json(spark, f"{request.checkpoint}/_state", run.now)
     return Success((request.next_offset, request.next_offset + n - 1) if n else None, out.after if out.after > _EVER else None)
