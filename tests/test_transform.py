@@ -1,4 +1,8 @@
-"""Runs of several slices with explicit watermarks, as a dataset coordinator makes them."""
+"""Runs of several slices with explicit watermarks, as a dataset coordinator makes them.
+
+Fixed values, which results must equal: the names of system columns and of inputs, the rows and watermarks of the slices of
+the first tests, and what comes out of them.
+"""
 
 from datetime import datetime, timedelta
 
@@ -54,10 +58,10 @@ class Dataset:
 
 
 TICKER = "event_time timestamp, symbol string, price int"
-DAILY = "SELECT TUMBLE_START(event_time, INTERVAL '1' DAY) as event_time, symbol as symbol, min(price) as `min`, max(price) as `max` FROM `in` GROUP BY TUMBLE(event_time, INTERVAL '1' DAY), symbol"
+DAILY = "SELECT TUMBLE_START(event_time, INTERVAL '1' DAY) AS event_time, symbol, MIN(price) AS low, MAX(price) AS high FROM `in` GROUP BY symbol, TUMBLE(event_time, INTERVAL '1' DAY)"
 
 
-DAILY_TABLE = "SELECT window_start as event_time, symbol, min(price) as `min`, max(price) as `max` FROM TABLE(TUMBLE(TABLE `in`, DESCRIPTOR(event_time), INTERVAL '1' DAY)) GROUP BY window_start, window_end, symbol"
+DAILY_TABLE = "SELECT window_start AS event_time, symbol, MIN(price) AS low, MAX(price) AS high FROM TABLE(TUMBLE(TABLE `in`, DESCRIPTOR(event_time), INTERVAL '1' DAY)) GROUP BY window_start, window_end, symbol"
 
 
 @pytest.mark.parametrize("query", [DAILY, DAILY_TABLE])
@@ -82,8 +86,8 @@ def test_late_rows(spark, tmp_path):
     assert out == [(0, ts(2), "A", 12, 12), (0, ts(3), "A", 14, 14)]
 
 
-JOIN = """SELECT o.event_time as order_time, o.order_id, o.quantity as order_quantity, CAST(s.event_time as TIMESTAMP(3)) as shipped_time, COALESCE(s.num_shipped, 0) as shipped_quantity
-FROM orders as o LEFT JOIN shipments as s ON o.order_id = s.order_id AND s.event_time BETWEEN o.event_time AND o.event_time + INTERVAL '2' DAY"""
+JOIN = """SELECT sold.event_time AS order_time, sold.order_id, sold.quantity AS wanted, CAST(sent.event_time AS TIMESTAMP(3)) AS sent_at, COALESCE(sent.num_shipped, 0) AS sent_now
+FROM orders AS sold LEFT JOIN shipments AS sent ON sold.order_id = sent.order_id AND sent.event_time BETWEEN sold.event_time AND sold.event_time + INTERVAL '2' DAY"""
 ORDERS = {"orders": "event_time timestamp, order_id long, quantity long", "shipments": "event_time timestamp, order_id long, num_shipped long"}
 
 
@@ -96,7 +100,7 @@ def test_interval_join(spark, tmp_path):
 
 
 def test_full_interval_join(spark, tmp_path):
-    q = JOIN.replace("LEFT JOIN", "FULL OUTER JOIN").replace("o.event_time as order_time", "COALESCE(o.event_time, s.event_time) as order_time")
+    q = JOIN.replace("LEFT JOIN", "FULL OUTER JOIN").replace("sold.event_time AS order_time", "COALESCE(sold.event_time, sent.event_time) AS order_time")
     d = Dataset(spark, tmp_path, [(None, q)], ORDERS, vocab=Vocab(event_time="order_time"))
     _, out = d.slice({"orders": [(1, 1, 10), (5, 3, 9)], "shipments": [(1, 1, 4), (2, 7, 6), (9, 3, 1)]}, {"orders": 5, "shipments": 2}, 0)
     assert sorted(out, key=repr) == [(0, ts(1), 1, 10, ts(1), 4)]
@@ -154,9 +158,9 @@ def test_current_watermark(spark, tmp_path):
 
 
 def test_chain(spark, tmp_path):
-    stats = "SELECT TUMBLE_START(order_time, INTERVAL '1' DAY) as order_time, order_id, count(*) as num_shipments, min(shipped_time) as first_shipment, max(shipped_time) as last_shipment, min(order_quantity) as order_quantity, sum(shipped_quantity) as shipped_quantity_total FROM order_shipments GROUP BY TUMBLE(order_time, INTERVAL '1' DAY), order_id"
-    last = "SELECT * FROM shipment_stats WHERE order_quantity <> shipped_quantity_total"
-    d = Dataset(spark, tmp_path, [("order_shipments", JOIN), ("shipment_stats", stats), (None, last)], ORDERS, vocab=Vocab(event_time="order_time"))
+    stats = "SELECT TUMBLE_START(order_time, INTERVAL '1' DAY) AS order_time, order_id, COUNT(*) AS parts, MIN(sent_at) AS first_sent, MAX(sent_at) AS last_sent, MIN(wanted) AS wanted, SUM(sent_now) AS sent_in_all FROM joined GROUP BY order_id, TUMBLE(order_time, INTERVAL '1' DAY)"
+    last = "SELECT * FROM totals WHERE sent_in_all <> wanted"
+    d = Dataset(spark, tmp_path, [("joined", JOIN), ("totals", stats), (None, last)], ORDERS, vocab=Vocab(event_time="order_time"))
     r, out = d.slice({"orders": [(1, 1, 10), (1, 2, 120), (5, 3, 9), (10, 4, 110)], "shipments": [(1, 1, 4), (2, 1, 6), (2, 2, 120), (8, 3, 9), (11, 4, 50), (13, 4, 60)]}, {"orders": 13, "shipments": 13}, 0)
     assert out == [(0, ts(5), 3, 1, None, None, 9, 0), (0, ts(10), 4, 1, ts(11), ts(11), 110, 50)] and r.watermark == ts(11)
 

@@ -24,6 +24,9 @@ from tidewright.session import cut
 from tidewright.sinks import load_json, save_json, write_file
 from tidewright.sources.slices import read_slice
 
+#: Messages that callers of the engine look for.
+CLASH = "Transformed data contains column '{}' that conflicts with the system column name, you should either rename the data column or configure the dataset vocabulary to use a different name"
+NO_TIME = "Event time column {} was not found among: {}"
 LOG = logging.getLogger("tidewright")
 _EVER = datetime(1, 1, 1)
 _MS = timedelta(milliseconds=1)
@@ -348,9 +351,9 @@ def _execute(spark: SparkSession, request: TransformRequest) -> Success:
     seen = [c for c in rows.columns if not c.startswith("__")]
     for c in (v.offset, v.system_time):
         if c in seen:
-            raise ValueError(f"Transformed data contains column '{c}' that conflicts with the system column name, you should either rename the data column or configure the dataset vocabulary to use a different name")
+            raise ValueError(CLASH.format(c))
     if v.event_time not in seen:
-        raise ValueError(f"Event time column {v.event_time} was not found among: {', '.join(seen)}")
+        raise ValueError(NO_TIME.format(v.event_time, ", ".join(seen)))
     op = F.col(v.op).cast("int") if v.op in seen else F.col("__op").cast("int") if "__op" in rows.columns else F.lit(0)
     order = [c for c in ("__seq", "__step") if c in rows.columns]
     if "__seq" not in order:
