@@ -23,6 +23,27 @@ def test_quality_learns_and_handles_odd_rows(spark):
     assert quality.score(docs.limit(0), model, "q").count() == 0
 
 
+def test_dual_coordinate_descent_against_projected_gradient():
+    """Both reach the least of |w|^2/2 + C sum max(0, 1 - y w x) over normed rows with a constant feature."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 30, 12)) for _ in range(80)]
+    y = np.where([x.mean() + rng.normal(0, 3) > 14.5 for x in rows], 1.0, -1.0)
+    r = rng.normal(0, 1, 30)
+    dense = np.zeros((80, 31))
+    for i, x in enumerate(rows):
+        dense[i, x] = r[x] / np.sqrt((r[x] ** 2).sum())
+        dense[i, 30] = 1
+    cost = 0.5
+    loss = lambda w: w @ w / 2 + cost * np.maximum(0, 1 - y * (dense @ w)).sum()
+    w, b = quality.descend(rows, r, y, cost, 4000)
+    q = (dense @ dense.T) * np.outer(y, y)
+    alpha, step = np.zeros(80), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    plain = dense.T @ (alpha * y)
+    assert abs(loss(np.append(w, b)) - loss(plain)) < 0.01 * loss(plain) and loss(plain) < 0.9 * loss(np.zeros(31))
+
+
 def test_longest_matches_against_substrings():
     rng = random.Random(2)
     text = "".join(rng.choice("ab ") for _ in range(300))
