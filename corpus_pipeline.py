@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
-from tidewright.session import shared_folder
+from tidewright.llm.common import free_names
+from tidewright.session import delete, shared_folder
 from tidewright.sources import table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
-    return quality.score(docs, model, "_quality").where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    (name,) = free_names(docs, "quality")
+    return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -50,9 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages, over documents."""
-    docs = table(spark, folder, "documents")
+    docs, before = table(spark, folder, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, folder).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what the stage after it has read is not needed any more
+            delete(spark, before)
+        before = path
     return docs
