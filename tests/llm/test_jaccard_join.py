@@ -67,10 +67,10 @@ def test_keys_find_every_link_of_frequent_sets():
             x, y = (np.unique(np.concatenate((rng.choice(base, len(base) - rng.integers(0, 1 + len(base) // 8), replace=False), new(rng.integers(0, 1 + len(base) // 12))))) for _ in "xy")
             both = len(np.intersect1d(x, y))
             if den * both >= num * (len(x) + len(y) - both) and not np.array_equal(x, y):
-                kx, px = J.index_keys(x, frequent, num, den)
-                ky, py = J.index_keys(y, frequent, num, den)
+                kx, px, lx = J.index_keys(x, frequent, num, den)
+                ky, py, ly = J.index_keys(y, frequent, num, den)
                 alpha = -(-num * (len(x) + len(y)) // (num + den))
-                assert any(min(px[i], py[j]) + min(len(x) - px[i], len(y) - py[j]) >= alpha for i in range(len(kx)) for j in np.flatnonzero(ky == kx[i]))
+                assert any(min(lx[i], ly[j], (lx[i] + ly[j]) // 3) + min(len(x) - px[i], len(y) - py[j]) >= alpha for i in range(len(kx)) for j in np.flatnonzero(ky == kx[i]))
             assert len(J.index_keys(x, frequent, num, den)[0]) <= len(x)
 
 

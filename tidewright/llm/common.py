@@ -40,9 +40,11 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The same words, as text, of a column of texts in one array, and the number of words of each text (null: none)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
     flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    real = pc.not_equal(flat, "")
-    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
-    return flat.filter(real), np.diff(before[ends])
+    void = pc.equal(flat, "")  # at the ends of texts that begin or end with white space
+    if not pc.any(void).as_py():
+        return flat, np.diff(ends).astype(np.int64)
+    before = np.concatenate(([0], np.cumsum(~void.to_numpy(zero_copy_only=False))))
+    return flat.filter(pc.invert(void)), np.diff(before[ends])
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
@@ -62,23 +64,16 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     return s
 
 
+def _distinct(s: np.ndarray) -> np.ndarray:
+    """np.unique by sorting."""
+    s = np.sort(s)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's k-word shingles; with fewer words the whole sequence is one; without words none."""
     h = word_hashes(words(text))
-    return np.unique(_rolled(h, min(k, len(h)))) if len(h) else h
-
-
-def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The shingles of each text of a column. Words that repeat in it are hashed once."""
-    found, sizes = split_words(column)
-    codes = found.dictionary_encode()
-    own = word_hashes(codes.dictionary.cast(pa.binary()).to_pylist())
-    h = own[codes.indices.to_numpy()] if len(own) else own
-    whole, out, at = _rolled(h, k), [], 0
-    for n in sizes.tolist():
-        out.append(np.unique(whole[at : at + n - k + 1]) if n >= k else _rolled(h[at : at + n], n) if n else h[:0])
-        at += n
-    return out
+    return _distinct(_rolled(h, min(k, len(h)))) if len(h) else h
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

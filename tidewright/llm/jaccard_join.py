@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import free_names, map_batches, shingle_sets, spread
+from tidewright.llm.common import free_names, map_batches, shingles, spread
 from tidewright.llm.graph import bloom, components, maybe_in
 from tidewright.session import cut
 from tidewright.sources import table
@@ -49,7 +49,7 @@ NAME = "op6_jaccard_join"
 FREQUENT = 50
 MAX_FREQUENT = 1_000_000
 BLOCK_TOKENS = 4_000_000
-BUCKET = HUBS = 256
+BUCKET = HUBS = 1024
 SENT_IDS = 1_000_000  # as many ids at most are broadcast; more are joined by a shuffle
 _LAST = (1 << 63) - 1
 
@@ -70,16 +70,18 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return k * np.uint64(0xD6E8FEB86659FD93)
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the place of their first token in the order: single rare tokens and pairs of frequent ones. frequent: sorted."""
+def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (single rare tokens and pairs of frequent ones), the place of their first token in the order, and its place among
+    the frequent ones where tokens that both sets hold may precede a common key. frequent: sorted."""
     n = len(s)
     if n < 2:  # equal sets are one class
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
     at = np.searchsorted(frequent, s)
     often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, dtype=bool)
     rare, common = s[~often], s[often]
     p = n - needed(n, num, den) + 1
     keys, places = [rare[:p]], [np.arange(min(p, len(rare)), dtype=np.int32)]
+    leads = [np.zeros(len(places[0]), dtype=np.int32)]
     if 4 * num >= 3 * den:
         single = len(common) * (den - num) // num - len(rare)  # frequent tokens that one of two linked sets alone holds, at most
         own = min(single, len(common) - needed(n, num, den))
@@ -87,12 +89,14 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple
             c = common[: own + single + 2]
             keys.append(_pair(c[:-1], c[1:]))
             places.append(np.arange(len(rare), len(rare) + len(c) - 1, dtype=np.int32))
+            leads.append(np.arange(len(c) - 1, dtype=np.int32))
     else:
         c = common[: max(0, p + 1 - len(rare))]
         for i in range(min(len(c) - 1, p - len(rare))):
             keys.append(_pair(c[i], c[i + 1 :]))
             places.append(np.full(len(c) - i - 1, len(rare) + i, dtype=np.int32))
-    return np.concatenate(keys), np.concatenate(places)
+            leads.append(np.zeros(len(c) - i - 1, dtype=np.int32))
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(leads)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -127,7 +131,7 @@ def _scan(k: int):
         size, seen = 0, set()
         for b in batches:
             rows = []
-            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+            for d, s in zip(b.column(0).to_pylist(), (shingles(t, k) for t in b.column(1).to_pylist()), strict=True):
                 c = class_of(s)
                 rows.append((0, d, len(s), c, sketch(s)))
                 if len(s) and c not in seen:  # copies in a block count once
@@ -145,22 +149,22 @@ def _scan(k: int):
 
 
 def _index(k: int, frequent: np.ndarray, num: int, den: int, among: np.ndarray | None):
-    """Rows (key, class, n, place); among: a Bloom filter of the keys wanted."""
+    """Rows (key, class, n, place, lead); among: a Bloom filter of the keys wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, done = [], set()
-            for s in shingle_sets(b.column(1), k):
+            for s in (shingles(t, k) for t in b.column(1).to_pylist()):
                 c = class_of(s)
                 if c in done:
                     continue
                 done.add(c)
-                keys, places = index_keys(s, frequent, num, den)
+                keys, places, leads = index_keys(s, frequent, num, den)
                 if among is not None and len(keys):
                     hit = maybe_in(among, keys)
-                    keys, places = keys[hit], places[hit]
+                    keys, places, leads = keys[hit], places[hit], leads[hit]
                 for i in range(0, len(keys), 100_000):
-                    parts.append((keys[i : i + 100_000], places[i : i + 100_000], c, len(s)))
+                    parts.append((keys[i : i + 100_000], places[i : i + 100_000], c, len(s), leads[i : i + 100_000]))
             while parts:
                 now, size = [], 0
                 while parts and size < 100_000:
@@ -172,6 +176,7 @@ def _index(k: int, frequent: np.ndarray, num: int, den: int, among: np.ndarray |
                         "cls": pa.array(np.concatenate([np.full(len(x[0]), x[2], dtype=np.int64) for x in now])),
                         "n": pa.array(np.concatenate([np.full(len(x[0]), x[3], dtype=np.int32) for x in now])),
                         "place": pa.array(np.concatenate([x[1] for x in now])),
+                        "lead": pa.array(np.concatenate([x[4] for x in now])),
                     }
                 )
 
@@ -189,7 +194,7 @@ def _sets(k: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+            for d, s in zip(b.column(0).to_pylist(), (shingles(t, k) for t in b.column(1).to_pylist()), strict=True):
                 if len(s) and maybe_in(wanted, np.array([_named(c := class_of(s), d)], dtype=np.uint64))[0]:
                     out.append((c, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["cls", "set"])
@@ -215,10 +220,18 @@ def _checked(num: int, den: int, bound: bool):
     return run
 
 
-def _fits(na, nb, pa_, pb, num: int, den: int):
-    """Whether lengths and the places of a common key allow for the overlap that a link needs: what precedes it, and what follows."""
+def _fits(a: tuple[Column, ...], b: tuple[Column, ...], num: int, den: int) -> Column:
+    """Whether lengths and the places (n, place, lead) of a common key allow for the overlap that a link needs: what follows
+    the key, and what may precede it. For the first frequent neighbours in common, tokens of one set alone stand between any
+    common ones before them, so of both leads together at most a third are tokens in common."""
+    (na, pa_, la), (nb, pb, lb) = a, b
     alpha = F.ceil((F.lit(num) * (na + nb)) / F.lit(num + den))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= alpha)
+    before = F.least(la, lb, F.floor((la + lb) / 3))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (before + F.least(na - pa_, nb - pb) >= alpha)
+
+
+def _at(prefix: str) -> tuple[Column, ...]:
+    return tuple(F.col(f"{prefix}{c}") for c in ("n", "place", "lead"))
 
 
 class Join:
@@ -261,22 +274,22 @@ class Join:
         """Verified links (a, b) between classes, enough of them for the components and none within a component already
         known; and these components (node, comp)."""
         num, den = self.num, self.den
-        made = lambda among: map_batches(self.rows, _index(self.k, self.frequent, num, den, among), "key long, cls long, n int, place int")
+        made = lambda among: map_batches(self.rows, _index(self.k, self.frequent, num, den, among), "key long, cls long, n int, place int, lead int")
         several = cut(made(None).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
         n = several.count()
         if not n:
             none = self.docs.sparkSession.createDataFrame([], "a long, b long")
             return none, none.toDF("node", "comp")
-        index = cut(made(bloom(several, "key", n)).groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")))
+        index = cut(made(bloom(several, "key", n)).groupBy("key", "cls").agg(*[F.min(c).alias(c) for c in ("n", "place", "lead")]))
         # place and n in front: the hub is the class whose key stands foremost, so the one with the fewest tokens of its own
-        hubs = cut(index.groupBy("key").agg(F.min(F.struct("place", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1"))
+        hubs = cut(index.groupBy("key").agg(F.min(F.struct("place", "n", "cls", "lead")).alias("hub"), F.count("*").alias("c")).where("c > 1"))
         index = cut(spread(index, hubs, ["key"], "c"))
-        near = index.where(F.col("cls") != F.col("hub.cls")).where(_fits(F.col("n"), F.col("hub.n"), F.col("place"), F.col("hub.place"), num, den))
+        near = index.where(F.col("cls") != F.col("hub.cls")).where(_fits(_at(""), _at("hub."), num, den))
         stars = near.groupBy("cls", F.col("hub.cls").alias("b")).agg(F.count("*").alias("c")).groupBy("cls").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
         found = self._linked(self._close(cut(stars)))
         comp = cut(components(found))
-        told = index.select("key", "cls", "n", "place").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        left, close, names = self._open(cut(told)), [], ("cls", "n", "place", "comp")
+        told = index.select("key", "cls", "n", "place", "lead").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        left, close, names = self._open(cut(told)), [], ("cls", "n", "place", "lead", "comp")
         while not left.isEmpty():
             small = left.where(F.col("c") <= BUCKET)
             a, b = (small.select("key", *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in "ab")
@@ -289,7 +302,7 @@ class Join:
                 each = spread(large.drop("c"), heads, ["key"], "c", by=["cls"]).withColumn("h", F.explode("heads"))
                 more = more.unionByName(each.select(*[F.col(c).alias(f"a_{c}") for c in names], *[F.col(f"h.{c}").alias(f"b_{c}") for c in names]).where("a_cls <> b_cls"))
                 large = large.join(heads.select("key", F.explode("heads.cls").alias("cls")), ["key", "cls"], "left_anti")
-            more = more.where("a_comp <> b_comp").where(_fits(F.col("a_n"), F.col("b_n"), F.col("a_place"), F.col("b_place"), num, den))
+            more = more.where("a_comp <> b_comp").where(_fits(_at("a_"), _at("b_"), num, den))
             pairs = cut(more.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct())
             if not pairs.isEmpty():
                 close.append(self._close(pairs))
@@ -300,7 +313,7 @@ class Join:
         return found, comp
 
     def _open(self, told: DataFrame) -> DataFrame:
-        """told(key, cls, n, place, comp) with c, the bucket's size: of the buckets whose classes are in several components."""
+        """told(key, cls, n, place, lead, comp) with c, the bucket's size: of the buckets whose classes are in several components."""
         several = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
         return cut(spread(told, cut(several), ["key"], "c", by=["cls"]))
 
