@@ -14,7 +14,8 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_file(df: DataFrame, path: str) -> None:
-    """One Parquet file at exactly `path`."""
+    """One Parquet file at exactly `path`, in the order of df's partitions. The format of datasets asks for one file a slice,
+    so one task writes it: a slice, not the history, must be what a task can write."""
     spark = df.sparkSession
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
     df.coalesce(1).write.parquet(tmp)
