@@ -10,7 +10,7 @@ The model is fitted on a bounded sample of labelled rows: the `max_rows` whose i
 fixed (2^BITS weights), so it may be sent to every task. Whole texts are scored.
 
 Defined results: a null text scores as an empty one, by the intercept alone; an empty table gives an empty result; without
-labels of both classes every score is 1 (or 0 if only label 0 occurs); repeated labels of an id count once, as the lowest;
+labels of both classes every score is 1 (or 0 if only label 0 occurs); repeated labels of an id count once, as the lowest, and of rows with one id one is learned from, that with the least indicators;
 other columns pass through `score`, whatever their names, but the name given for the score must be free.
 """
 
@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "label": b.column(2), "x": pa.array([indicators(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
 
-    got = map_batches(rows, featurise, "doc_id long, label int, x binary").toArrow().sort_by("doc_id").to_pydict()
+    one = map_batches(rows, featurise, "doc_id long, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.label", "r.x")
+    got = one.toArrow().sort_by("doc_id").to_pydict()
     return fit([np.frombuffer(x, dtype=np.int32) for x in got["x"]], np.array(got["label"], dtype=np.int64))
 
 
