@@ -60,6 +60,32 @@ def test_temporal_join(spark, tmp_path):
         assert sorted(raw(spark, tmp_path / str(k), rows, "offset long, kind string, event_time timestamp, symbol string, n int", [*split, Step(query)], {"owned": ["symbol"]})) == want
 
 
+def test_snapshot_at_a_constant_time(spark, tmp_path):
+    rows = [(0, day(1), "A", 1), (1, day(2), "A", 2), (2, day(2), "B", 3), (3, day(4), "A", 4)]
+    query = "SELECT p.symbol, p.price FROM input FOR SYSTEM_TIME AS OF TIMESTAMP '2000-01-03 00:00:00' AS p"
+    schema = "offset long, event_time timestamp, symbol string, price int"
+    assert sorted(raw(spark, tmp_path, rows, schema, query, {"input": ["symbol"]})) == [("A", 2), ("B", 3)]
+    assert "primary key" in raw(spark, tmp_path / "n", rows, schema, query).message
+
+
+def test_checkpoints_as_tar_files(spark, tmp_path):
+    types = {"offset": pa.int64(), "op": pa.int32(), "system_time": pa.timestamp("ms", "UTC"), "event_time": pa.timestamp("ms", "UTC"), "price": pa.int32()}
+    totals = []
+    for k in range(2):
+        values = {"offset": [k], "op": [0], "system_time": [SYS], "event_time": [day(k + 1)], "price": [10 + k]}
+        pq.write_table(pa.table({c: pa.array(v, types[c]) for c, v in values.items()}), f"{tmp_path}/{k}.parquet")
+        request = {
+            "transform": {"engine": "flink", "query": "SELECT max(event_time) AS event_time, 'x' AS k, sum(price) AS total FROM `in` GROUP BY 'x'"},
+            "queryInputs": [{"queryAlias": "in", "dataPaths": [f"{tmp_path}/{k}.parquet"], "offsetInterval": {"start": k, "end": k}, "explicitWatermarks": []}],
+            "systemTime": "2020-01-01T00:00:00Z", "nextOffset": 2 * k, "newDataPath": f"{tmp_path}/new{k}.parquet", "newCheckpointPath": f"{tmp_path}/state{k}.tar", "prevCheckpointPath": f"{tmp_path}/state0.tar" if k else None,
+        }
+        (tmp_path / "q.yaml").write_text(yaml.safe_dump(request))
+        assert cli.main(["transform", f"{tmp_path}/q.yaml", f"{tmp_path}/r.yaml", "--tar"]) == 0
+        totals.append([(r["op"], r["total"]) for r in pq.read_table(f"{tmp_path}/new{k}.parquet").to_pylist()])
+    assert totals == [[(0, 10)], [(1, 10), (0, 21)]]
+    assert sorted(p.name for p in tmp_path.iterdir() if "state" in p.name) == ["state0.tar", "state1.tar"]
+
+
 @pytest.mark.parametrize("zone", [None, "UTC"])
 def test_nanoseconds_are_times(spark, tmp_path, zone):
     t = pa.table({"offset": pa.array([0, 1], pa.int64()), "op": pa.array([0, 2], pa.int32()), "system_time": pa.array([0, 0], pa.timestamp("ns", zone)), "event_time": pa.array([1_500_000_000_123_456_789, -1], pa.timestamp("ns", zone)), "n": pa.array([1, None], pa.int64())})

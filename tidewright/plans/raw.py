@@ -8,7 +8,7 @@ import traceback
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.dialect import shape, translate
+from tidewright.dialect import shape, snapshots, translate
 from tidewright.model import ENGINES, Failure, InvalidQueryError, RawQueryRequest, Success, Vocab
 from tidewright.operators import asof_join
 from tidewright.session import cut
@@ -18,6 +18,7 @@ from tidewright.sources.slices import nanosecond_columns, utc
 
 def _query(spark: SparkSession, text: str, temporal: dict[str, list[str]]) -> DataFrame:
     """A step, which may join a temporal table: a view with a primary key and the default vocabulary's event time."""
+    text = snapshots(text, temporal, {})
     if not re.search(r"\bLATERAL\s+TABLE\b|\bFOR\s+SYSTEM_TIME\b", text, re.I):
         return spark.sql(translate(text))
     s, v = shape(text, temporal), Vocab()

@@ -127,6 +127,7 @@ class Run:
         return self.relations[name]
 
     def step(self, k: int, text: str) -> Relation:
+        text = dialect.snapshots(text, self.request.transform.temporal, {i.alias: i.vocab.event_time for i in self.request.inputs})
         if dialect.CURRENT_WATERMARK.search(text):  # rows of a slice see the watermark that preceded them
             before = min((self._of(x).before for x in dialect.names(text, list(self.relations))), default=_EVER)
             told = "CAST(NULL AS TIMESTAMP)" if before == _EVER else f"TIMESTAMP '{before}'"
