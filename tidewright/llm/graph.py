@@ -1,8 +1,11 @@
-"""Connected components and Bloom filters over keys, all distributed."""
+"""Connected components and Bloom filters over keys."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +13,41 @@ from tidewright.llm.common import HOT_ROWS, spread
 from tidewright.session import cut
 
 MAX_BITS = 1 << 27
+ONE_TASK = 1_000_000
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), and the smallest that each reaches: labels fall to a neighbour's until none does."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        now = label.copy()
+        for at in (a, b, label[a], label[b]):  # the nodes, and the ones that stand for them
+            np.minimum.at(now, at, low)
+        while not np.array_equal(now, short := now[now]):
+            now = short
+        if np.array_equal(now, label):
+            return nodes, nodes[label]
+        label = now
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        nodes, comp = least_reached(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+        for i in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[i : i + 100_000]), "comp": pa.array(comp[i : i + 100_000])})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of edges(a, b), of type long: the smallest node that each reaches. Alternates the large-star and
-    small-star steps (Kiveris et al., 2014) until no edge changes; hot nodes are aggregated partially before a shuffle."""
+    small-star steps (Kiveris et al., 2014) until no edge changes; joins at nodes with many edges are salted. Up to ONE_TASK
+    edges, which are counted first, are solved in one executor's task instead, with the same result and without rounds."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if e.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return e.coalesce(1).mapInArrow(_solve, "node long, comp long")
 
     def star(pairs: DataFrame, large: bool, hot: bool) -> DataFrame:
         """pairs: (u, v), v a neighbour of u. Links neighbours to the least of them and u. hot: some u has many."""
