@@ -127,15 +127,21 @@ def snapshot_as_of(spark, folder):
     return snapshot(table(spark, folder, "events"), ["user_id"], "ts", datetime(2024, 1, 15), "event_id").select("user_id", "event_id", "value")
 
 
+@query("""
+WITH seen AS (SELECT event_id, event_type, list({'low': -value, 'id': event_id}) OVER (PARTITION BY event_type ORDER BY event_id) AS l FROM events),
+tops AS (SELECT event_id, event_type, list_slice(list_sort(l), 1, 3) AS now FROM seen),
+steps AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY event_type ORDER BY event_id), []) AS was FROM tops),
+places AS (SELECT event_id AS arrival, event_type, now, was, unnest([1, 2, 3]) AS place FROM steps WHERE now <> was),
+changed AS (SELECT arrival, event_type, place, now[place] AS n, was[place] AS w, 2 * (place - min(place) OVER (PARTITION BY arrival)) AS step FROM places WHERE now[place] IS DISTINCT FROM was[place])
+SELECT w.id AS event_id, event_type, -w.low AS value, 2 AS op, place, arrival, step FROM changed WHERE w IS NOT NULL
+UNION ALL SELECT n.id, event_type, -n.low, CASE WHEN w IS NULL THEN 0 ELSE 3 END, place, arrival, CASE WHEN w IS NULL THEN step ELSE step + 1 END FROM changed
+""")
 def top_changelog(spark, folder):
-    """Top 3 of each event type by value as a changelog in order of arrival. Tested against a plain fold."""
+    """Top 3 of each event type by value as a changelog in order of arrival."""
     e = table(spark, folder, "events").select("event_id", "event_type", "value")
     return top_changes(e, [("value", True)], 3, "event_id", ["event_type"]).where("not __final").selectExpr("event_id", "event_type", "value", "__op as op", "__place as place", "__seq as arrival", "__step as step")
 
 
-QUERIES["top_changelog"] = top_changelog
-
-
 def streaming_tumbling(spark, folder):
     from tidewright.streaming import tumbling_counts
 
