@@ -279,6 +279,24 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_templates_that_differ_deep_down(spark, monkeypatch):
+    """Sections of the fourth segment, below a segment that differs from url to url, are told apart; so are many even sections."""
+    from tidewright.llm import common
+
+    rules = {f"x.com/u{u}/blog/all/{kind}/": verdict for u in range(12) for kind, verdict in (("spam", "block"), ("ham", "allow"))}
+    rules |= {f"y.com/s{k}/a": "block" if k % 3 == 0 else "allow" for k in range(60)}
+    urls = [f"http://x.com/u{u}/blog/all/{kind}/{n}" for u in range(200) for kind in ("spam", "ham") for n in range(3)]
+    urls += [f"http://y.com/s{k}/{c}{n}" for k in range(60) for n in range(30) for c in "ab"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for hot in (1000, 7):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        rows = url_filter.judge(pages, rules).collect()
+        assert len(rows) == len(urls)
+        for r in rows:
+            want = "spam" in r.path if r.host == "x.com" else int(r.path.split("/")[1][1:]) % 3 == 0
+            assert r.verdict == ("block" if want else "allow"), r
+
+
 def test_recurrent_gradient_and_score(monkeypatch):
     monkeypatch.setattr(language_model, "LANES", 3)
     rng = np.random.default_rng(6)

@@ -89,11 +89,11 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
 HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
-def spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+def spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", by: list[str] | None = None, most: int | None = None) -> DataFrame:
     """rows joined with groups, which has one row a key and its number of rows in the column `size`. A key with more than
     HOT_ROWS rows is dealt to salts, and its group to each of them, so that no task gets a hot key as a whole. by: the columns
-    that tell a key's rows apart (all others by default)."""
-    if (groups.agg(F.max(size)).first()[0] or 0) <= HOT_ROWS:
+    that tell a key's rows apart (all others by default). most: the most rows of a key, where that is known."""
+    if ((groups.agg(F.max(size)).first()[0] or 0) if most is None else most) <= HOT_ROWS:
         return rows.join(groups, keys, how)
     hot = cut(groups.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(HOT_KEYS).select(*keys, F.ceil(F.col(size) / HOT_ROWS).cast("int").alias("__salts")))
     others = by or [c for c in rows.columns if c not in keys]

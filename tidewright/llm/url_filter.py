@@ -65,7 +65,7 @@ def _level(live: DataFrame, depth: int) -> DataFrame:
     kept = [F.max(c).alias(c) for c in ("all", "q")]
     kids = live.groupBy("node", "seg").agg(*sums, *kept, F.count("*").alias("paths"))
     literal = F.lit(True) if not depth else (F.col("n") * F.col("n") >= F.col("all")) | (F.col("l") >= LABELS)
-    kids = cut(kids.withColumn("part", F.when(literal, F.concat(F.lit("/"), F.col("seg"))).otherwise("*")))
+    kids = kids.withColumn("part", F.when(literal, F.concat(F.lit("/"), F.col("seg"))).otherwise("*"))
     q, l, b = F.col("q"), F.col("l"), F.col("b")
     alike = (l == 0) | (F.abs(b / F.nullif(l, F.lit(0)) - q) <= Z * F.sqrt(q * (1.0 - q) / F.nullif(l, F.lit(0))))
     like = F.when(~alike, F.round(F.asin(F.sqrt((b + WEIGHT * q) / (l + WEIGHT))) / BIN)).alias("like")
@@ -75,9 +75,11 @@ def _level(live: DataFrame, depth: int) -> DataFrame:
     found = nodes.join(pooled, ["node", "like"], "left").select("node", "part", "paths", F.col("n").alias("now_all"), F.when(F.col("like").isNull(), q).otherwise((F.col("mb") + WEIGHT * q) / (F.col("ml") + WEIGHT)).alias("now_q"), mixed.alias("mixed"))
     found = cut(found)
     told = ["now_all", "now_q", "mixed"]
-    named = cut(kids.where("part <> '*'").select("node", "part", "seg").join(found, ["node", "part"]).select("node", "seg", "paths", *told))
+    most = found.groupBy(F.col("part") == "*").agg(F.max("paths")).collect()
+    in_named, in_rest = (next((n for star, n in most if star is which), 0) for which in (False, True))
+    named = kids.where("part <> '*'").select("node", "part", "seg").join(found, ["node", "part"]).select("node", "seg", "paths", *told)
     rest = found.where("part = '*'").select("node", F.col("paths").alias("others"), *[F.col(c).alias(f"rest_{c}") for c in told])
-    out = spread(spread(live, named, ["node", "seg"], "paths", "left", by=["segs"]), rest, ["node"], "others", "left", by=["segs"])
+    out = spread(spread(live, named, ["node", "seg"], "paths", "left", ["segs"], in_named), rest, ["node"], "others", "left", ["segs"], in_rest)
     own = F.col("paths").isNotNull()
     node = F.concat("node", F.when(own, F.concat(F.lit("/"), F.col("seg"))).otherwise("/*"))
     return cut(out.select("host", "segs", "n", "l", "b", node.alias("node"), *[F.when(own, F.col(c)).otherwise(F.col(f"rest_{c}")).alias(c.removeprefix("now_")) for c in told]))
