@@ -175,6 +175,23 @@ def test_temporal_join(spark, tmp_path, syntax):
     assert out == [(0, ts(4), "A", 100, 14, 1400), (0, ts(4), "B", 250, 24, 6000)] and r.watermark == ts(4)
 
 
+def test_versions_ahead_of_probes(spark, tmp_path):
+    q = "SELECT x.event_time, x.symbol, y.volume, x.price, x.price * y.volume AS worth FROM tickers AS x, LATERAL TABLE (`stocks.owned`(x.event_time)) AS y WHERE x.symbol = y.symbol"
+    d = Dataset(spark, tmp_path, [(None, q)], {"tickers": TICKER, "stocks.owned": "event_time timestamp, symbol string, volume int"}, {"stocks.owned": ["symbol"]})
+    r, out = d.slice({"tickers": [(i, "A", i) for i in range(1, 6)], "stocks.owned": [(3, "A", 100)]}, {"tickers": 5, "stocks.owned": 5}, 0)
+    assert out == [(0, ts(i), "A", 100, i, 100 * i) for i in (3, 4, 5)] and r.interval == (0, 2) and r.watermark == ts(5)
+
+
+def test_composite_and_missing_keys(spark, tmp_path):
+    q = "SELECT x.event_time, x.symbol, y.volume FROM tickers AS x JOIN `owned` FOR SYSTEM_TIME AS OF x.event_time AS y ON x.symbol = y.symbol AND x.price = y.lot"
+    tables = {"tickers": TICKER, "owned": "event_time timestamp, symbol string, lot int, volume int"}
+    d = Dataset(spark, tmp_path, [(None, q)], tables, {"owned": ["symbol", "lot"]})
+    _, out = d.slice({"tickers": [(2, "A", 1), (2, "A", 2), (2, "B", 1)], "owned": [(1, "A", 1, 10), (1, "A", 2, 20), (2, "A", 2, 21), (3, "B", 1, 5)]}, {"tickers": 3, "owned": 3}, 0)
+    assert sorted(out) == [(0, ts(2), "A", 10), (0, ts(2), "A", 21)]
+    for n, (keys, kind) in enumerate((([], "InternalError"), (["none"], "InvalidQuery"))):
+        assert Dataset(spark, tmp_path / str(n), [(None, q)], tables, {"owned": keys}).slice({"tickers": [(1, "A", 1)], "owned": [(1, "A", 1, 1)]}, {}, 0)[0].kind == kind
+
+
 def test_map_and_corrections(spark, tmp_path):
     d = Dataset(spark, tmp_path, [(None, "SELECT event_time, symbol, price * 10 as price FROM `in`")], {"in": TICKER})
     _, out = d.slice({"in": [(1, "A", 10), (2, "B", 20), (3, "A", 11)]}, {"in": 4}, 0)
