@@ -129,3 +129,20 @@ def test_request_files(spark, tmp_path):
 def test_unknown_engines_fail(spark, tmp_path, name, query):
     got = execute_raw_query(spark, RawQueryRequest([], Transform([Step("SELECT 1")], query), f"{tmp_path}/o"))
     assert got.kind == "InternalError" and "Unsupported engine" in got.message
+
+
+def test_inputs_need_their_columns(spark, tmp_path):
+    for k, schema in enumerate(("offset long, event_time timestamp", "offset long, op int, x int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{k}")
+        with pytest.raises(ValueError, match="Operation column not found: op" if k == 0 else "Event time column not found: event_time"):
+            read_slice(spark, Input("in", [f"{tmp_path}/{k}"], None, (0, 9), [], Vocab()))
+
+
+def test_times_nested_values_and_partition_columns(spark, tmp_path):
+    """Milli- and microseconds are the same times; arrays, maps and structs pass; folders that are named by values give columns."""
+    for unit, k in (("ms", 1), ("us", 1000)):
+        t = pa.table({"offset": pa.array([0], pa.int64()), "op": pa.array([0], pa.int32()), "event_time": pa.array([86_400_123 * k], pa.timestamp(unit, "UTC")), "a": pa.array([[1, None]], pa.list_(pa.int32())), "m": pa.array([[("k", 1.5)]], pa.map_(pa.string(), pa.float64())), "s": pa.array([{"x": True}], pa.struct({"x": pa.bool_()}))})
+        (tmp_path / unit / "symbol=A").mkdir(parents=True)
+        pq.write_table(t, f"{tmp_path}/{unit}/symbol=A/x.parquet")
+        rows = read_slice(spark, Input("in", [f"{tmp_path}/{unit}"], f"{tmp_path}/{unit}", (0, 0), [], Vocab())).collect()
+        assert [(r.event_time, r.a, r.m, r.s.x, r.symbol) for r in rows] == [(dt.datetime(1970, 1, 2, 0, 0, 0, 123_000), [1, None], {"k": 1.5}, True, "A")]
