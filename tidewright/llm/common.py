@@ -86,7 +86,7 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 #: Keys of more rows are salted, for as many keys at most (those with the most rows): what is broadcast has a fixed bound.
-HOT_ROWS, HOT_KEYS = 1000, 10_000
+HOT_ROWS, HOT_KEYS = 200, 10_000
 
 
 def spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", by: list[str] | None = None, most: int | None = None) -> DataFrame:
