@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidewright.session import cut
 
 #: Bytes and rows of an Arrow batch (a row of more bytes is one of its own): what a worker holds does not depend on the length of texts.
-BATCH_BYTES, BATCH_ROWS = 1 << 22, 4000
+BATCH_BYTES, BATCH_ROWS = 1 << 21, 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,6 +85,18 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes, for work that has a cost a batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 #: Keys of more rows are salted, for as many keys at most (those with the most rows): what is broadcast has a fixed bound.
 HOT_ROWS, HOT_KEYS = 200, 10_000
 

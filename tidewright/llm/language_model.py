@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches, remainder, split_words
+from tidewright.llm.common import gathered, map_batches, remainder, split_words
 from tidewright.session import cut
 from tidewright.sources import table
 
@@ -419,7 +419,7 @@ class Model:
 
         def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(doc_id, mark, word, times) of the words that `known` lacks."""
-            for b in batches:
+            for b in gathered(batches):
                 found, sizes = split_words(b.column(1))
                 away = known.places(found) == len(known.words)
                 codes = found.filter(pa.array(away)).dictionary_encode()
@@ -442,7 +442,7 @@ class Model:
                     yield x.append_column("rnn", pa.array(scores[at : at + x.num_rows]))
                     at += x.num_rows
 
-            for b in batches:
+            for b in gathered(batches):
                 found, sizes = split_words(b.column(1))
                 at = known.places(found)
                 row = np.repeat(np.arange(len(sizes)), sizes)
