@@ -12,7 +12,8 @@ those that lie in it, and they depend on its lines alone, so all of it goes, to
 Segments that occur more than once over all documents are compared byte by byte with their first occurrence (by doc_id, the
 text's hash, then place) and, if equal, removed; the first stays. Where an occurrence overlaps the first, only the lines after the first go.
 
-No group is gathered: occurrences are counted by a partial aggregation and told of it with salts, members are dealt to one
+Texts without a repeated segment, and those that lose nothing, are told by Bloom filters and not shuffled. No group is
+gathered: occurrences are counted by a partial aggregation and told of it with salts, members are dealt to one
 salt for each MEMBERS_PER_SALT, and the first occurrence alone goes to all salts.
 
 Defined results: null text stays null, with no lines removed; empty texts stay; a text all of whose lines go is empty;
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import map_batches, spread
+from tidewright.llm.graph import bloom, maybe_in
 from tidewright.session import cut
 from tidewright.sources import table
 
@@ -152,6 +154,24 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, {"doc_id": pa.int64(), "text": pa.string(), "lines_removed": pa.int32()})
 
 
+_ROWS = "id long, row long, text string"
+
+
+def _filter(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the texts' hashes."""
+    return bloom(rows, "row", rows.count())
+
+
+def _among(wanted: np.ndarray, there: bool):
+    """The rows (id, row, text) that may be among those wanted, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(wanted, b.column("row").to_numpy().view(np.uint64)) == there))
+
+    return run
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lines_removed) of docs(doc_id, text)."""
     text = F.col("text").cast("string")
@@ -161,11 +181,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     groups = cut(marks.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1"))
     named = spread(marks, groups, ["hash", "size"], "n").select("id", "row", F.struct("start", "stop", "hash", "size", F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int").alias("salts"), (place == F.col("head")).alias("first")).alias("c"))
     cand = cut(named.groupBy("id", "row").agg(F.collect_set("c").alias("cand")))  # at most three for each line of a text
-    held = map_batches(rows.join(cand, ["id", "row"]), _data, f"{_PLACED}, salts int, first boolean, data binary")
+    held = map_batches(map_batches(rows, _among(_filter(cand), True), _ROWS).join(cand, ["id", "row"]), _data, f"{_PLACED}, salts int, first boolean, data binary")
     salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "row", "start"), F.col("salts")).cast("int")))
     dealt = held.withColumn("salt", F.explode(salt)).repartition(F.col("hash"), F.col("size"), F.col("salt")).sortWithinPartitions("hash", "size", "salt", F.desc("first"))
     drops = cut(map_batches(dealt, _equal, f"{_PLACED}, gone int").groupBy("id", "row").agg(F.collect_set(F.struct("start", "stop", "hash", "size", "gone")).alias("drop")))
-    return map_batches(rows.join(drops, ["id", "row"], "left"), _rebuild, "doc_id long, text string, lines_removed int")
+    less = _filter(drops)
+    whole = map_batches(rows, _among(less, False), _ROWS).select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), "text", F.lit(0).alias("lines_removed"))
+    return whole.unionByName(map_batches(map_batches(rows, _among(less, True), _ROWS).join(drops, ["id", "row"], "left"), _rebuild, "doc_id long, text string, lines_removed int"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
