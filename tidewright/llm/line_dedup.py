@@ -13,12 +13,13 @@ Segments that occur more than once over all documents are compared byte by byte
 text's hash, then place) and, if equal, removed; the first stays. Where an occurrence overlaps the first, only the lines after the first go.
 
 Texts without a repeated segment, and those that lose nothing, are told by Bloom filters and not shuffled. No group is
-gathered: occurrences are counted by a partial aggregation and told of it with salts, members are dealt to one
-salt for each MEMBERS_PER_SALT, and the first occurrence alone goes to all salts.
+gathered: occurrences are counted by a partial aggregation and told of it with salts, members are dealt to one salt for each
+MEMBERS_PER_SALT, and the first occurrence alone goes to all salts.
 
 Defined results: null text stays null, with no lines removed; empty texts stay; a text all of whose lines go is empty;
 repeated rows of an id with one text are occurrences of the same places, so their segments are not removed for each other's
-sake; rows of one id with different texts, a null id among them, are rows of their own; a null id counts as the largest; the order of lines that stay is kept; further columns are not read.
+sake; rows of one id with different texts, a null id among them, are rows of their own; a null id counts as the largest; the
+order of lines that stay is kept; further columns are not read.
 """
 
 from __future__ import annotations
