@@ -14,7 +14,7 @@ where labels are mixed. Urls of templates with a purity of REJECT or more are bl
 
 Pages are read twice: for the counts of distinct paths, from which all levels are computed, and to be judged. Each level is
 kept in the shared folder. Counts are sums with partial aggregation, and joins by a key that many rows hold are salted, so
-a host, branch or url with a third of all rows is spread. Only two numbers, the sums of all labels, reach the driver.
+a host, branch or url with a third of all rows is spread. Sums of all labels and sizes of the largest keys alone reach the driver.
 
 Defined results: a null url, or one without `://`, has empty host and path and is judged as the host ``; repeated rows are
 judged each; an empty table gives an empty result; further columns, whatever their names, are not read.
@@ -94,7 +94,7 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     base = base.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("told", F.element_at(verdicts, F.coalesce("rule", F.lit(""))) if rules else F.lit(None).cast("string"))
     base = base.withColumn("segs", F.concat(F.array("host"), F.filter(F.split("path", "/"), lambda x: x != "")))
     paths = cut(base.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("told").alias("l"), F.count_if(F.col("told") == "block").alias("b")))
-    total = paths.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("l", "b")]).first()
+    total = paths.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("l", "b")], F.coalesce(F.max("n"), F.lit(0))).first()
     live, depth, done = paths.withColumns({"node": F.lit(""), "all": F.lit(0).cast("long"), "q": F.lit((total[1] + 1.0) / (total[0] + 2.0))}), 0, []
     while True:
         now = _level(live, depth)
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
         if live.isEmpty():
             break
     judged = functools.reduce(DataFrame.unionByName, done).select("segs", "n", F.col("node").alias("template"), F.col("q").alias("purity"))
-    out = spread(base, judged, ["segs"], "n", by=["page_id"])
+    out = spread(base, judged, ["segs"], "n", by=["page_id"], most=total[2])
     return out.select("page_id", "host", "path", "rule", F.coalesce("told", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
